@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm import lookalike, multiset, overlap
+from lexiflow.llm import bpe, lookalike, multiset, overlap, packing, reading
 from lexiflow.llm.common import records, table
 
 
@@ -67,8 +67,39 @@ def p5_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalize(docs, "text", _lattice(spark, sf_dir)).select("td_id", "normal")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the public tokenizer."""
+    return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or piece of one, for each capacity."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "pack_specs"), bpe.DEFAULT_FILE)
+
+
+def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and unused space for each capacity."""
+    return packing.summary(p7_packed(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", table(spark, sf_dir, "graded_passages"))
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading level of every document on the scale of the graded passages."""
+    return _levels(spark, sf_dir).select("doc_id", "basis", "n_words", F.round("level", 2).alias("level"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents of 60 words or more that are as demanding as passages of grade 4 or 5."""
+    english = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
+    found = _levels(spark, sf_dir).where("n_words >= 60 and level >= 3.5").select("doc_id")
+    return found.join(english, "doc_id", "left_semi")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_collapsed, p5_found, p5_normalized)}
+    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_collapsed, p5_found, p5_normalized, p6_ids, p7_packed, p7_summary, p8_found, p8_levels)}
 
 
 def oracle_sql() -> dict[str, str]:
