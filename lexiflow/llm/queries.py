@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm import bpe, lookalike, multiset, overlap, packing, reading
+from lexiflow.llm import bpe, lookalike, multiset, overlap, packing, reading, termfreq
 from lexiflow.llm.common import records, table
 
 
@@ -52,6 +52,23 @@ def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("k = keep").select(F.col("keep").alias("td_id"), "copies")
 
 
+def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences, records and mark of each distinct term of the tokens."""
+    tokens = termfreq.term_frequencies(table(spark, sf_dir, "tokens"), "td_id", "token_position", "text")
+    return termfreq.marked(tokens).withColumnRenamed("term", "token")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that are too rare or too common to be useful."""
+    return p4_terms(spark, sf_dir).where("mark is not null").select("token", "mark")
+
+
+def p4_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences, records and mark of each token id of the stream."""
+    ids = termfreq.term_frequencies(table(spark, sf_dir, "token_stream"), "td_id", "pos", "token_id")
+    return termfreq.marked(ids).select(F.col("term").cast("long").alias("token_id"), "occurrences", "records", "mark")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rows that look the same but differ in characters, in text_docs.text and token_exceptions.orth."""
     rules = table(spark, sf_dir, "token_exceptions")
@@ -99,8 +116,28 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_collapsed, p5_found, p5_normalized, p6_ids, p7_packed, p7_summary, p8_found, p8_levels)}
+    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_collapsed, p4_found, p4_terms, p4_ids, p5_found, p5_normalized, p6_ids, p7_packed, p7_summary, p8_found, p8_levels)}
+
+
+_MARK = """
+    CASE WHEN occurrences < 5 OR records < 3 THEN 'rare'
+         WHEN records > 0.1 * (SELECT count(DISTINCT td_id) FROM seen) THEN 'common' END AS mark
+"""
+_TERMS = """
+WITH seen AS (SELECT td_id, token_position, max(text) AS token FROM tokens
+              WHERE td_id IS NOT NULL AND token_position IS NOT NULL GROUP BY td_id, token_position),
+     freq AS (SELECT token, count(*) AS occurrences, count(DISTINCT td_id) AS records FROM seen WHERE token IS NOT NULL GROUP BY token)
+"""
+_IDS = """
+WITH seen AS (SELECT td_id, pos, max(token_id) AS token_id FROM token_stream
+              WHERE td_id IS NOT NULL AND pos IS NOT NULL GROUP BY td_id, pos),
+     freq AS (SELECT token_id, count(*) AS occurrences, count(DISTINCT td_id) AS records FROM seen WHERE token_id IS NOT NULL GROUP BY token_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": f"{_TERMS}, m AS (SELECT token, {_MARK} FROM freq) SELECT token, mark FROM m WHERE mark IS NOT NULL",
+        "p4_terms": f"{_TERMS} SELECT token, occurrences, records, {_MARK} FROM freq",
+        "p4_ids": f"{_IDS} SELECT token_id, occurrences, records, {_MARK} FROM freq",
+    }
