@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm import bpe, lookalike, multiset, overlap, packing, reading, termfreq
+from lexiflow.llm import bpe, lookalike, mojibake, multiset, overlap, packing, reading, termfreq
 from lexiflow.llm.common import records, table
 
 
@@ -41,6 +41,17 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose text was decoded with the wrong encoding: the text restored as far as it can be, and whether wholly."""
+    docs = records(table(spark, sf_dir, "text_docs"), "text")
+    return mojibake.restore(docs, "td_id", "text", mojibake.train(docs))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose text, wholly or in part, was decoded with the wrong encoding."""
+    return p2_restored(spark, sf_dir).select("td_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies hidden by formatting differences, each with the smallest id of its group."""
     return multiset.copies(records(table(spark, sf_dir, "text_docs"), "text"), "td_id", "text", _lattice(spark, sf_dir))
@@ -116,7 +127,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_collapsed, p4_found, p4_terms, p4_ids, p5_found, p5_normalized, p6_ids, p7_packed, p7_summary, p8_found, p8_levels)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_restored, p3_found, p3_collapsed, p4_found, p4_terms, p4_ids, p5_found, p5_normalized, p6_ids, p7_packed, p7_summary, p8_found, p8_levels)}
 
 
 _MARK = """
