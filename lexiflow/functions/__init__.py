@@ -1 +1 @@
-
+"""Native column functions."""

@@ -1 +1 @@
-
+"""Operators on DataFrames of documents and tokens."""

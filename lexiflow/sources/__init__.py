@@ -1 +1 @@
-
+"""Readers of text corpora."""
