@@ -43,6 +43,7 @@ def encode(tokens: DataFrame, vocab: DataFrame, token: str = "text", out: str =
     others meet their ids in a shuffle, so no task gets all rows of a token that a third of the text consists of.
     """
     ids = vocab.select(F.col("token").alias("_token"), F.col("id").cast("long").alias(out), *(["n"] if "n" in vocab.columns else []))
+    tokens = tokens.drop(out)
     on = F.col(token) == F.col("_token")
     if "n" not in vocab.columns:
         return tokens.join(ids, on, "left").drop("_token")

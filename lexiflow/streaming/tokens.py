@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.operators.rules import DEFAULT, TokenizerRules
-from lexiflow.operators.tokenize import tokenize
+from lexiflow.operators.tokenize import tokenize, tokenize_documents
 from lexiflow.operators.vocab import extend_vocab
 
 
@@ -20,8 +20,9 @@ def stream_tokens(stream: DataFrame, key: str, text: str = "text", rules: Tokeni
 def windowed_counts(stream: DataFrame, time: str, text: str = "text", window: str = "1 hour", delay: str = "2 hours", rules: TokenizerRules = DEFAULT) -> DataFrame:
     """(start, end, token, n): how often each token came in each window; rows later than ``delay`` are left out."""
     keyed = stream.where(F.col(time).isNotNull()).withWatermark(time, delay)
-    tokens = tokenize(keyed.select(F.col(time).alias("at"), text), "at", text, rules)
-    counts = tokens.withWatermark("at", delay).groupBy(F.window("at", window), F.col("text").alias("token")).agg(F.count("*").alias("n"))
+    tokens = tokenize_documents(keyed.select(F.col(time).alias("at"), F.col(text).alias("text")), "text", rules)
+    words = tokens.select("at", F.explode("tokens.text").alias("token"))
+    counts = words.groupBy(F.window("at", window), "token").agg(F.count("*").alias("n"))
     return counts.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "token", "n")
 
 
