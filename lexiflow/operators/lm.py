@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.operators.ordering import with_running_sum
+from lexiflow.plans.lineage import cut_table
 
 
 def token_stream(encoded: DataFrame, order: list[str], position: str = "position", token_id: str = "token_id") -> DataFrame:
-    """(pos, token_id): all documents one after the other in ``order``; offsets come from one row a document."""
-    encoded = encoded.select(*order, F.col(position).alias("_position"), F.col(token_id).alias("_id"))
+    """(pos, token_id): all documents one after the other in ``order``; offsets come from one row a document.
+
+    The encoded tokens are written once, as both the offsets and the stream are made of them.
+    """
+    encoded = cut_table(encoded.select(*order, F.col(position).alias("_position"), F.col(token_id).alias("_id")))
     counts = encoded.groupBy(*order).agg(F.count("*").alias("n"))
     offsets = with_running_sum(counts, order, "n", "offset").select(*order, "offset")
     return encoded.join(offsets, order).select((F.col("offset") + F.col("_position")).alias("pos"), F.col("_id").alias("token_id"))

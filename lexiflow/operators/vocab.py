@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lexiflow.operators.ordering import with_dense_number
 from lexiflow.plans.lineage import cut
 
+#: A vocabulary of so many tokens or fewer is looked up in memory, a larger one in a shuffle.
+SMALL = 500_000
 #: A token with more than this share of all occurrences is hot. There are at most 1 / HOT of them.
 HOT = 0.01
 
@@ -36,25 +38,27 @@ def extend_vocab(vocab: DataFrame, tokens: DataFrame, order: list[str], token: s
     return known.unionByName(fresh.select("token", (F.col("id") + size).cast("long").alias("id")))
 
 
-def encode(tokens: DataFrame, vocab: DataFrame, token: str = "text", out: str = "token_id") -> DataFrame:
+def encode(tokens: DataFrame, vocab: DataFrame, token: str = "text", out: str = "token_id", small: int = SMALL) -> DataFrame:
     """``tokens`` with the id of each one; tokens that the vocabulary lacks have no id (null).
 
-    If the vocabulary has counts, the few hot tokens (at most 1 / HOT) are looked up in a broadcast table, and only the
-    others meet their ids in a shuffle, so no task gets all rows of a token that a third of the text consists of.
+    A vocabulary of ``SMALL`` tokens or fewer (counted, not guessed) is broadcast, and the tokens stay where they are.
+    Beyond that they meet their ids in a shuffle; if the vocabulary has counts, the hot tokens (at most 1 / HOT) are then
+    looked up in a broadcast table, so no task gets all rows of a token that a third of the text consists of.
     """
-    ids = vocab.select(F.col("token").alias("_token"), F.col("id").cast("long").alias(out), *(["n"] if "n" in vocab.columns else []))
     tokens = tokens.drop(out)
+    ids = cut(vocab.select(F.col("token").alias("_token"), F.col("id").cast("long").alias(out), *(["n"] if "n" in vocab.columns else [])))
     on = F.col(token) == F.col("_token")
-    if "n" not in vocab.columns:
-        return tokens.join(ids, on, "left").drop("_token")
-    ids = cut(ids)
+    names = ids.select("_token", out)
+    if ids.count() <= small:
+        return tokens.join(F.broadcast(names), on, "left").drop("_token")
+    if "n" not in ids.columns:
+        return tokens.join(names, on, "left").drop("_token")
     total = ids.agg(F.sum("n")).scalar()
     hot = ids.where(F.col("n") > F.lit(HOT) * total).select("_token", F.col(out).alias("_hot"))
-    cold = ids.select("_token", out)
     marked = tokens.join(F.broadcast(hot), on, "left").drop("_token")
     spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*tokens.columns), F.lit(4096)).cast("string"))
     marked = marked.withColumn("_key", F.when(F.col("_hot").isNotNull(), spread).otherwise(F.col(token)))
-    found = marked.join(cold, F.col("_key") == F.col("_token"), "left")
+    found = marked.join(names, F.col("_key") == F.col("_token"), "left")
     return found.withColumn(out, F.coalesce("_hot", out)).drop("_token", "_key", "_hot")
 
 

@@ -16,25 +16,32 @@ from lexiflow.operators import docs as D
 from lexiflow.operators import lexeme, lm, tokenize, vocab
 from lexiflow.operators.rules import DEFAULT, TokenizerRules, norm_of
 from lexiflow.operators.segment import SEGMENT, segment_rows
+from lexiflow.sources.tables import read_table, spread
 from lexiflow.sources.textsplits import SPLITS, split_of_table
 
 #: Stop words of the filter and flag queries; any list can be given.
 STOPS = ["the", "a", "of", "and", "in", "to", "one", "this", "that", "le", "la", "die", "das", "el", "o"]
 BPTT_LEN, BATCH_SIZE = 32, 16
+NO_RULES = TokenizerRules((), (), (), {})
 #: Rules of the query for custom rules: single signs, so that plain SQL can say what comes out.
 CUSTOM = TokenizerRules(prefixes=[r"\(", '"', "<", "-"], suffixes=[r"\)", ">", ",", r"\.", ":", ";", "!", r"\?"], infixes=["~"], exceptions={})
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment_rows(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return segment_rows(_documents(spark, sf_dir), "doc_id", "text")
 
 
 def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.assemble(_segments(spark, sf_dir), "doc_id")
+    """Segments as arrays; documents without any are left out."""
+    return tokenize.tokenize_documents(_documents(spark, sf_dir).where("text <> ''"), rules=NO_RULES)
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +51,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_tokens_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces between single blanks, counted by language."""
-    docs = _table(spark, sf_dir, "documents").where("text is not null")
+    docs = _documents(spark, sf_dir).where("text is not null")
     tokens = docs.select("lang", F.explode(F.split("text", " ", -1)).alias("token"))
     return tokens.groupBy("lang", "token").agg(F.count("*").alias("n"))
 
@@ -155,28 +162,28 @@ def exception_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokenize_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T6 to T16 under the default rules: every token of every document."""
-    return tokenize.tokenize(_table(spark, sf_dir, "documents"), "doc_id")
+    return tokenize.tokenize(_documents(spark, sf_dir), "doc_id")
 
 
 def tokenize_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default rules without the loss of what follows an empty piece between infixes."""
-    return tokenize.tokenize(_table(spark, sf_dir, "documents"), "doc_id", rules=TokenizerRules(infix_gaps="keep"))
+    return tokenize.tokenize(_documents(spark, sf_dir), "doc_id", rules=TokenizerRules(infix_gaps="keep"))
 
 
 def tokenize_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens as an array with their document: number of tokens, and the text they make."""
-    docs = tokenize.tokenize_documents(_table(spark, sf_dir, "documents").where("text is not null"))
+    docs = tokenize.tokenize_documents(_documents(spark, sf_dir).where("text is not null"))
     return docs.select("doc_id", F.size("tokens").cast("long").alias("n"), D.doc_text(F.col("tokens")).alias("text"))
 
 
 def tokenize_no_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rule families off: the same as plain segments."""
-    return tokenize.tokenize(_table(spark, sf_dir, "documents"), "doc_id", rules=TokenizerRules((), (), (), {}))
+    return tokenize.tokenize(_documents(spark, sf_dir), "doc_id", rules=NO_RULES)
 
 
 def tokenize_custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 to T16 under rules of our own, counted by token."""
-    tokens = tokenize.tokenize(_table(spark, sf_dir, "documents"), "doc_id", rules=CUSTOM)
+    tokens = tokenize.tokenize(_documents(spark, sf_dir), "doc_id", rules=CUSTOM)
     return tokens.groupBy("text").agg(F.count("*").alias("n"), F.sum(F.col("space_after").cast("long")).alias("spaced"))
 
 
@@ -207,7 +214,7 @@ def vocab_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vocab_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vocabulary of the English documents, grown by all documents."""
-    english = _table(spark, sf_dir, "documents").where("lang = 'en'")
+    english = _documents(spark, sf_dir).where("lang = 'en'")
     known = vocab.build_vocab(segment_rows(english, "doc_id", "text"), ["doc_id", "position"])
     return vocab.extend_vocab(known, _segments(spark, sf_dir), ["doc_id", "position"])
 

@@ -1,22 +1,51 @@
-"""Cut a plan where a result is read more than once, so that it is computed once and survives lost executors."""
+"""Cut a plan where a result is read more than once, so that it is computed once and survives lost executors.
+
+Small results go through ``checkpoint()``; large ones are written as a compressed table. Both lie in the shared folder that
+the cluster names in ``spark.checkpoint.dir``; one of our own is set only where none is, as in tests.
+"""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; set one of our own only where none is set."""
+def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lexiflow-checkpoints"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """``df`` written to the shared checkpoint folder and read from there; partitions and their order stay."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """``df`` written as a table beside the checkpoints and read from there; columns that aren't asked for aren't read."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _written.append((spark, path))
+    return spark.read.parquet(path)
+
+
+@atexit.register
+def release() -> None:
+    """Delete the tables that this process wrote; done at its end as far as the session still lives."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001 - the session is gone, and the cluster cleans its folder
+            return

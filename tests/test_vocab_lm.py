@@ -26,13 +26,13 @@ def test_vocab_in_order_of_first_occurrence(spark):
     assert ids(vocab.extend_vocab(known, tokens(spark, []), ["doc_id", "position"])) == ids(known)
 
 
-@pytest.mark.parametrize("counts", [True, False])
-def test_encode_and_decode(spark, counts):
+@pytest.mark.parametrize(("counts", "small"), [(True, 500), (True, 0), (False, 500), (False, 0)])
+def test_encode_and_decode(spark, counts, small):
     known = vocab.build_vocab(tokens(spark), ["doc_id", "position"])
     known = known if counts else known.select("token", "id")
     rows = [*TOKENS, (4, 0, "unknown"), (4, 1, None)]
     src = tokens(spark, rows).withColumn("n", F.lit("clash")).withColumn("token_id", F.lit(7))
-    got = {(r["doc_id"], r["position"]): r["token_id"] for r in vocab.encode(src.drop("token_id") if not counts else src, known).collect()}
+    got = {(r["doc_id"], r["position"]): r["token_id"] for r in vocab.encode(src, known, small=small).collect()}
     assert got == {(d, p): {"b": 0, "a": 1, "c": 2}.get(t) for d, p, t in rows}
     back = vocab.decode(vocab.encode(tokens(spark), known), known).collect()
     assert all(r["token"] == r["text"] for r in back)
@@ -43,7 +43,7 @@ def test_encode_and_decode(spark, counts):
 def test_hot_token_is_looked_up_without_a_shuffle_of_its_rows(spark):
     rows = [(i, 0, "the") for i in range(2000)] + [(i, 1, f"w{i}") for i in range(500)]
     known = vocab.build_vocab(tokens(spark, rows), ["doc_id", "position"])
-    got = vocab.encode(tokens(spark, rows), known).groupBy("token_id").count().collect()
+    got = vocab.encode(tokens(spark, rows), known, small=0).groupBy("token_id").count().collect()
     assert sorted(r["count"] for r in got) == [1] * 500 + [2000] and all(r["token_id"] is not None for r in got)
 
 
