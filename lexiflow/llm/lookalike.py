@@ -213,7 +213,8 @@ def normalize(df: DataFrame, column: str, lattice: Lattice, out: str = "normal")
 def equal_looking_pairs(df: DataFrame, key: str, column: str, lattice: Lattice, min_runs: int = 0) -> DataFrame:
     """(key_a, key_b): each pair of rows whose texts look the same but differ in characters, key_a < key_b.
 
-    Rows are hashed to their form and to their own characters (blanks collapsed). Groups of one form that hold a
+    Rows are hashed to their form and to their own characters (blanks collapsed), so texts aren't shuffled; a key that
+    comes twice counts once. Groups of one form that hold a
     single spelling are dropped before any join; the pairs are then made between *different spellings* of a form, so
     exact copies never meet each other. Rows with a null key or text, and texts of blanks alone, are in no pair.
     """
@@ -240,8 +241,9 @@ def equal_looking_pairs(df: DataFrame, key: str, column: str, lattice: Lattice,
 
     from lexiflow.llm.common import cut
 
-    src = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(column).alias("t"))
-    rows = cut(src.mapInArrow(hashed, "k long, form binary, raw binary"))
+    src = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(column).alias("t"))
+    once = src.mapInArrow(hashed, "k long, form binary, raw binary").groupBy("k").agg(F.min(F.struct("form", "raw")).alias("h"))
+    rows = cut(once.select("k", "h.form", "h.raw"))
     mixed = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
     rows = rows.join(mixed, "form", "left_semi")
     spellings = rows.groupBy("form", "raw").agg(F.count("*").alias("n"))
