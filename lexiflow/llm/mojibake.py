@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiflow.llm.common import cut
 from lexiflow.llm.lookalike import COMPAT, PROTOTYPE
 
 #: Share of the records that a pair must stand in, and the least number of them.
@@ -130,7 +131,10 @@ def code_points(text: str) -> np.ndarray:
 
 
 def pair_counts(df: DataFrame, column: str) -> DataFrame:
-    """(pair, n, records): how often, and in how many rows, each pair stands outside of runs that can be mapped back."""
+    """(pair, n, records): how often, and in how many rows, each pair stands outside of runs that can be mapped back.
+
+    The row of pair -1 has the number of rows with a text.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hide = lambda m: "\x00" * len(m[0]) if len(m[0]) > 1 and invertible(m[0]) or LOST in m[0] else m[0]
@@ -145,7 +149,8 @@ def pair_counts(df: DataFrame, column: str) -> DataFrame:
             pair, code = np.unique(key[some], return_inverse=True)
             n = np.bincount(code, minlength=len(pair))
             both = np.unique(code.astype(np.int64) << 32 | row[some])
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n), pa.array(np.bincount(both >> 32, minlength=len(pair)))], ["pair", "n", "records"])
+            columns = [np.append(pair, -1), np.append(n, 0), np.append(np.bincount(both >> 32, minlength=len(pair)), len(texts))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["pair", "n", "records"])
 
     return df.select(column).mapInArrow(count, "pair long, n long, records long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("records").alias("records"))
 
@@ -172,10 +177,10 @@ class Scores:
 
 def train(df: DataFrame, column: str = "text") -> Scores:
     """Scores from all rows. At most 1 / SUPPORT times the mean number of pairs in a row have support and reach the driver."""
-    rows = df.where(F.col(column).isNotNull()).count()
-    counts = pair_counts(df, column)
+    every = cut(pair_counts(df, column))
+    rows = every.where("pair = -1").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     a, b = F.shiftright("pair", 21), F.col("pair").bitwiseAND((1 << 21) - 1)
-    counts = counts.withColumn("a", a).withColumn("b", b)
+    counts = every.where("pair >= 0").withColumn("a", a).withColumn("b", b)
     left, right = counts.groupBy("a").agg(F.sum("n").alias("na")), counts.groupBy("b").agg(F.sum("n").alias("nb"))
     kept = counts.where(F.col("records") >= max(LEAST, SUPPORT * rows))
     total = counts.agg(F.sum("n")).scalar()

@@ -43,8 +43,9 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose text was decoded with the wrong encoding: the text restored as far as it can be, and whether wholly."""
-    docs = records(table(spark, sf_dir, "text_docs"), "text")
-    return mojibake.restore(docs, "td_id", "text", mojibake.train(docs))
+    docs = table(spark, sf_dir, "text_docs").where("td_id is not null").select("td_id", "text")
+    found = mojibake.restore(docs, "td_id", "text", mojibake.train(docs))
+    return found.groupBy("td_id").agg(F.min("restored").alias("restored"), F.min("text").alias("text"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
