@@ -61,8 +61,18 @@ def multiset_hash(pairs: list[tuple[str, str]]) -> int:
     return sum(int.from_bytes(blake2b(f"{n}\x1f{v}".encode("utf-8", "replace"), digest_size=16).digest(), "little") for n, v in pairs) % (1 << 128)
 
 
+def form_of(pairs: list[tuple[str, str]]) -> str:
+    """The pairs as written, one string."""
+    return "\x1e".join(f"{n}\x1f{v}" for n, v in pairs)
+
+
+def runs_in(pairs: list[tuple[str, str]]) -> int:
+    return sum(len(n.split()) + len(v.split()) for n, v in pairs)
+
+
 def fingerprints(df: DataFrame, key: str, column: str, lattice: Lattice, min_runs: int = MIN_RUNS) -> DataFrame:
-    """(k, fp, form): the fingerprint of each record and its pairs as written, one string.
+    """(k, fp, f): the fingerprint of each record, and a 128-bit hash of its pairs in their order. A key that comes more
+    than once counts once.
 
     Nulls and records of fewer than ``min_runs`` runs have no row (0 keeps all but nulls).
     """
@@ -71,18 +81,19 @@ def fingerprints(df: DataFrame, key: str, column: str, lattice: Lattice, min_run
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            keys, fps, forms = [], [], []
+            keys, fps, fs = [], [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 pairs = canonical_pairs(own.text(t))
-                if sum((n + " " + v).count(" ") + 1 - (not n) for n, v in pairs if n or v) < min_runs:
+                if min_runs and runs_in(pairs) < min_runs:
                     continue
                 keys.append(k)
                 fps.append(multiset_hash(pairs).to_bytes(16, "little"))
-                forms.append("\x1e".join(f"{n}\x1f{v}" for n, v in pairs))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fps, pa.binary()), pa.array(forms, pa.string())], ["k", "fp", "form"])
+                fs.append(blake2b(form_of(pairs).encode("utf-8", "replace"), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fps, pa.binary()), pa.array(fs, pa.binary())], ["k", "fp", "f"])
 
     src = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(column).alias("t"))
-    return src.mapInArrow(work, "k long, fp binary, form string")
+    made = src.mapInArrow(work, "k long, fp binary, f binary")
+    return made.groupBy("k").agg(F.min(F.struct("fp", "f")).alias("h")).select("k", "h.fp", "h.f")
 
 
 def _same(a: str, b: str) -> bool:
@@ -92,14 +103,20 @@ def _same(a: str, b: str) -> bool:
 def classes(df: DataFrame, key: str, column: str, lattice: Lattice, min_runs: int = MIN_RUNS) -> DataFrame:
     """(k, keep, copies): each record's class, named by its smallest key, and how many records the class has.
 
-    Copies collapse before anything is compared: (fp, form) is aggregated map-side, so a text that a third of all
-    records share arrives as one row a task. The forms of one fingerprint are orders of the same fields, and each is
-    compared with the fingerprint's first form (no sort, no pairs within a group); a form that only collides with it
-    becomes a class of its own. A key that comes more than once counts once.
+    Only hashes are shuffled. Copies collapse before anything is compared: (fp, f) is aggregated map-side, so a text that
+    a third of all records share arrives as one row a task. Where a fingerprint has several forms (orders of the same
+    fields), one record of each form is read again, and its fields are compared with those of the fingerprint's first
+    form (no sort, no pairs within a group); a form that only collides with it becomes a class of its own.
     """
-    rows = cut(fingerprints(df, key, column, lattice, min_runs).dropDuplicates(["k"]))
-    forms = rows.groupBy("fp", "form").agg(F.min("k").alias("first"), F.count("*").alias("n"))
-    heads = forms.groupBy("fp").agg(F.min_by("form", "first").alias("head"), F.count("*").alias("forms"))
+    rows = cut(fingerprints(df, key, column, lattice, min_runs))
+    forms = rows.groupBy("fp", "f").agg(F.min("k").alias("first"), F.count("*").alias("n"))
+    several = forms.groupBy("fp").agg(F.count("*").alias("forms"), F.min("first").alias("head")).where("forms > 1").select("fp", "head")
+    asked = cut(forms.join(several, "fp").select("fp", "f", "first", "head"))
+    shared = df.sparkSession.sparkContext.broadcast(lattice)
+
+    @F.pandas_udf("string")
+    def form(texts):
+        return texts.map(lambda t: form_of(canonical_pairs(shared.value.text(t))))
 
     @F.pandas_udf("boolean")
     def same(a, b):
@@ -107,14 +124,15 @@ def classes(df: DataFrame, key: str, column: str, lattice: Lattice, min_runs: in
 
         return pd.Series([_same(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    single = heads.where("forms = 1").select("fp")
-    several = heads.where("forms > 1").select("fp", "head")
-    plain = forms.join(single, "fp", "left_semi").select("fp", "form", "first", "n", F.lit("").alias("split"))
-    judged = forms.join(several, "fp").withColumn("split", F.when(same("form", "head"), F.lit("")).otherwise(F.sha2("form", 256)))
-    forms = cut(plain.unionByName(judged.select("fp", "form", "first", "n", "split")).select("fp", F.xxhash64("form").alias("f"), "first", "n", "split"))
-    heads = forms.groupBy("fp", "split").agg(F.min("first").alias("keep"), F.sum("n").alias("copies"))
-    named = forms.join(heads, ["fp", "split"]).select("fp", "f", "keep", "copies")
-    return rows.select("k", "fp", F.xxhash64("form").alias("f")).join(named, ["fp", "f"]).select("k", "keep", "copies")
+    wanted = asked.select(F.col("first").alias("k")).distinct()
+    texts = df.where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(column).alias("t")).join(wanted, "k", "left_semi")
+    written = texts.groupBy("k").agg(F.min("t").alias("t")).select("k", form("t").alias("form"))
+    judged = asked.join(written.withColumnRenamed("k", "first"), "first").join(written.select(F.col("k").alias("head"), F.col("form").alias("head_form")), "head")
+    other = cut(judged.where(~same("form", "head_form")).select("fp", "f").withColumn("split", F.col("f")))
+    split = forms.join(other, ["fp", "f"], "left").withColumn("split", F.coalesce("split", F.lit(b"")))
+    heads = split.groupBy("fp", "split").agg(F.min("first").alias("keep"), F.sum("n").alias("copies"))
+    named = split.join(heads, ["fp", "split"]).select("fp", "f", "keep", "copies")
+    return rows.join(named, ["fp", "f"]).select("k", "keep", "copies")
 
 
 def copies(df: DataFrame, key: str, column: str, lattice: Lattice, min_runs: int = MIN_RUNS) -> DataFrame:

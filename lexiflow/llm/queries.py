@@ -55,12 +55,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies hidden by formatting differences, each with the smallest id of its group."""
-    return multiset.copies(records(table(spark, sf_dir, "text_docs"), "text"), "td_id", "text", _lattice(spark, sf_dir))
+    return multiset.copies(table(spark, sf_dir, "text_docs"), "td_id", "text", _lattice(spark, sf_dir))
 
 
 def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record once, with the number of its copies; records of any number of runs."""
-    rows = multiset.classes(records(table(spark, sf_dir, "text_docs"), "text"), "td_id", "text", _lattice(spark, sf_dir), min_runs=0)
+    rows = multiset.classes(table(spark, sf_dir, "text_docs"), "td_id", "text", _lattice(spark, sf_dir), min_runs=0)
     return rows.where("k = keep").select(F.col("keep").alias("td_id"), "copies")
 
 
