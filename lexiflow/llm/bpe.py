@@ -105,9 +105,9 @@ class Encoder:
         alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.bytes = np.array([vocab[alphabet[b]] for b in range(256)], dtype=np.int64)
         split = [m.split(" ") if isinstance(m, str) else m for m in merges]
-        keys = np.array([vocab[a] << 20 | vocab[b] for a, b in split], dtype=np.int64)
+        keys = np.array([vocab[a] << 20 | vocab[b] for a, b in split] + [1 << 60], dtype=np.int64)  # the last is no pair
         order = np.argsort(keys)
-        self.keys, self.ranks, self.merged = keys[order], order.astype(np.int64), np.array([vocab[a + b] for a, b in split], dtype=np.int64)
+        self.keys, self.ranks, self.merged = keys[order], order.astype(np.int64), np.array([vocab[a + b] for a, b in split] + [0], dtype=np.int64)
         self.known: dict[int, int] = {}
         self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 

@@ -8,8 +8,8 @@ The form is found in three steps:
    have the same skeleton;
 3. each word of the skeleton opens a lattice: at every place the letters of the Latin, Cyrillic and Greek scripts that
    share the prototype. A Viterbi search picks the path of the best character bigram score, where a change of script
-   inside a word costs ``SWITCH``, and the script that prevails among the unmistakable letters of the text gets
-   ``CONTEXT`` a letter.
+   inside a word costs ``SWITCH``, and the script that prevails among the unmistakable letters of the text (Latin if
+   it has none) gets ``CONTEXT`` a letter.
 
 As the result depends on the skeleton alone, texts that look the same always get the same form. Letter case, accents and
 punctuation signs are kept. Nulls stay null, an empty text stays empty, a text of ignorable characters becomes empty.
@@ -42,7 +42,7 @@ DRAWN = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2}
 IGNORABLE = [cp for cp in range(0x80, 0x10000) if unicodedata.category(chr(cp)) == "Cf" and cp not in DRAWN] + [0x34F, 0x115F, 0x1160, 0x3164]
 
 #: Log-probabilities: the cost of a change of script within a word, and the worth of a letter in the text's own script.
-SWITCH, CONTEXT, SMOOTH = -25.0, 1.5, 0.5
+SWITCH, CONTEXT, SMOOTH = -25.0, 6.0, 0.5
 
 SCRIPTS = ("Latin", "Cyrillic", "Greek")
 
@@ -172,8 +172,8 @@ class Lattice:
     def text(self, text: str) -> str:
         """The consistent form of a text; blanks are left as they are but for odd ones, which become plain ones."""
         if text.isascii():
-            skeleton, prevailing = (text.translate(COMPAT) if "\x0b" in text or "\x0c" in text else text), 0
-            words = AMBIGUOUS_WORD
+            skeleton = text.translate(COMPAT) if "\x0b" in text or "\x0c" in text else text
+            prevailing, words = 0, AMBIGUOUS_WORD
         else:
             if "\u200D" in text:
                 text = PICTURE_JOINER.sub("", text).translate(COMPAT_BUT_JOINER)

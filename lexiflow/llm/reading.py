@@ -103,12 +103,11 @@ class Model:
         found = Counter(w for ws in cut_up for w in set(ws))
         self.bank = {w: i for i, w in enumerate(sorted(w for w, n in found.items() if n >= LEAST))}
         self.grade = np.array([g for _, g in passages])
-        spread = self.grade.std() or 1.0
-        self.start = (self.grade - self.grade.mean()) / spread if len(passages) else self.grade
+        self.start = (self.grade - self.grade.mean()) / (self.grade.std() or 1.0) if len(passages) else self.grade
         self.words, self.shapes = Family(len(self.bank)), Family(len(SHAPES))
         self.counts = (
-            np.array([np.bincount([self.bank[w] for w in ws if w in self.bank], minlength=len(self.bank)) for ws in cut_up], dtype=float).reshape(len(passages), -1),
-            np.array([shape_counts(t, ws) for (t, _), ws in zip(passages, cut_up, strict=True)], dtype=float).reshape(len(passages), -1),
+            np.array([np.bincount([self.bank[w] for w in ws if w in self.bank], minlength=len(self.bank)) for ws in cut_up], dtype=float).reshape(len(passages), len(self.bank)),
+            np.array([shape_counts(t, ws) for (t, _), ws in zip(passages, cut_up, strict=True)], dtype=float).reshape(len(passages), len(SHAPES)),
         )
         self.at = [self.start, self.start]
         self._items([None, None], 6)
