@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from enum import IntEnum
 from functools import lru_cache, reduce
+from importlib import resources
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -72,11 +73,19 @@ def like_num(s: Column) -> Column:
     return bare.rlike(rf"\A(?:{DIGIT}+|{DIGIT}+/{DIGIT}+)\z")
 
 
+def _country_codes() -> set[str]:
+    """The two-letter codes of ISO 3166, from the time-zone data that comes with pandas, or else from the Java runtime."""
+    try:
+        lines = (resources.files("tzdata") / "zoneinfo" / "iso3166.tab").read_text(encoding="utf-8").splitlines()
+        return {x.split("\t")[0].lower() for x in lines if x and not x.startswith("#")}
+    except (ModuleNotFoundError, OSError):
+        return {str(c).lower() for c in SparkSession.active()._jvm.java.util.Locale.getISOCountries()}
+
+
 @lru_cache(maxsize=1)
 def top_level_domains() -> tuple[str, ...]:
-    """Generic domains, and a country domain for each code of ISO 3166 as the Java runtime has them."""
-    codes = {str(c).lower() for c in SparkSession.getActiveSession()._jvm.java.util.Locale.getISOCountries()}
-    return tuple([*GENERIC_DOMAINS, *sorted((codes | {*OTHER_COUNTRY_DOMAINS}) - {*NO_COUNTRY_DOMAINS})])
+    """Generic domains, and a country domain for each country code."""
+    return tuple([*GENERIC_DOMAINS, *sorted((_country_codes() | {*OTHER_COUNTRY_DOMAINS}) - {*NO_COUNTRY_DOMAINS})])
 
 
 def like_url(s: Column, domains: Iterable[str] | None = None) -> Column:

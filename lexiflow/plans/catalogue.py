@@ -16,6 +16,8 @@ from lexiflow.operators import docs as D
 from lexiflow.operators import lexeme, lm, tokenize, vocab
 from lexiflow.operators.rules import DEFAULT, TokenizerRules, norm_of
 from lexiflow.operators.segment import SEGMENT, segment_rows
+from lexiflow.plans.lineage import cut_table
+from lexiflow.plans.oracle import token_ctes
 from lexiflow.sources.tables import read_table, spread
 from lexiflow.sources.textsplits import SPLITS, split_of_table
 
@@ -225,9 +227,9 @@ def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E5 with the rule-based tokens: ids of each document as an array."""
-    tokens = tokenize_default(spark, sf_dir)
-    return vocab.documents_of(vocab.encode(tokens, vocab.build_vocab(tokens, ["doc_id", "position"])), "doc_id")
+    """E5 with the rule-based tokens; the tokens are written once, as the vocabulary is made of them too."""
+    tokens = cut_table(tokenize_default(spark, sf_dir).select("doc_id", "position", "text"))
+    return vocab.encode(tokens, vocab.build_vocab(tokens, ["doc_id", "position"])).select("doc_id", "position", "token_id")
 
 
 def encode_saved_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,9 +338,16 @@ def oracle_sql() -> dict[str, str]:
     split = " UNION ALL ".join(f"SELECT '{s}' AS split, data_path, text FROM text_docs WHERE data_path IN (SELECT {s}_path FROM dataset_metas WHERE {s}_path IS NOT NULL)" for s in SPLITS)
     heads, tails = r"""[("<\-]""", r"[)>,.:;!?]"
     lower_of = r"regexp_replace(lower(word), '(\p{L})σ($|[^\p{L}])', '\1ς\2', 'g')"
+    exceptions = ", ".join(f"({_quoted([k])}, {i}, {_quoted([p])}, {_quoted([norm_of(p)])})" for k, v in DEFAULT.table.items() for i, p in enumerate(v))
     lex = lambda c: f"SELECT id AS rank, {c}"
     return {
         "split_tokens_by_lang": "SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(string_split(text, ' ')) AS token FROM documents WHERE text IS NOT NULL) GROUP BY lang, token",
+        "tokenize_default": f"WITH RECURSIVE {token_ctes(segments)} SELECT doc_id, position, text, space_after FROM tok",
+        "tokenize_keep": f"WITH RECURSIVE {token_ctes(segments, keep=True)} SELECT doc_id, position, text, space_after FROM tok",
+        "tokenize_arrays": f"""WITH RECURSIVE {token_ctes(segments)}, made AS (SELECT doc_id, count(*) AS n, string_agg(text || CASE WHEN space_after THEN ' ' ELSE '' END, '' ORDER BY position) AS text FROM tok GROUP BY doc_id)
+            SELECT doc_id, coalesce(n, 0) AS n, coalesce(made.text, '') AS text FROM documents LEFT JOIN made USING (doc_id) WHERE documents.text IS NOT NULL""",
+        "exception_table": f"""WITH known(surface, piece_no, orth, norm) AS (VALUES {exceptions}), counts AS (SELECT text, count(*) AS n FROM tokens GROUP BY text)
+            SELECT surface, piece_no, orth, norm, coalesce(n, 0) AS n FROM known LEFT JOIN counts ON surface = text""",
         "segment_tokens": f"WITH {segments} SELECT doc_id, position, text, space_after FROM seg",
         "tokenize_no_rules": f"WITH {segments} SELECT doc_id, position, text, space_after FROM seg",
         "whitespace_tokens": f"WITH {segments} SELECT doc_id, count(*) AS n, sum(length(text)) AS characters, max(space_after) AS at_end FROM seg WHERE regexp_matches(text, '^[{SPACE}]+$') GROUP BY doc_id",
@@ -371,6 +380,7 @@ def oracle_sql() -> dict[str, str]:
         "vocab_extended": f"""WITH {segments}, en AS (SELECT * FROM seg WHERE lang = 'en'), known AS ({voc('en')}), new AS (SELECT * FROM seg WHERE text NOT IN (SELECT token FROM known)), more AS ({voc('new')})
             SELECT token, id FROM known UNION ALL SELECT token, id + (SELECT count(*) FROM known) FROM more""",
         "encode_documents": f"WITH {segments}, voc AS ({voc()}) SELECT doc_id, position, id AS token_id FROM seg JOIN voc ON seg.text = voc.token",
+        "encode_tokenized": f"WITH RECURSIVE {token_ctes(segments)}, voc AS ({voc('tok')}) SELECT doc_id, position, id AS token_id FROM tok JOIN voc ON tok.text = voc.token",
         "encode_saved_vocab": "SELECT id AS token_id, count(*) AS n FROM tokens LEFT JOIN vocab ON tokens.text = vocab.token GROUP BY id",
         "decode_stream": "SELECT token, count(*) AS n FROM token_stream LEFT JOIN vocab ON token_stream.token_id = vocab.id GROUP BY token",
         "stream_positions": f"WITH {segments}{stream} SELECT pos, token_id FROM stream",
