@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiflow.plans.lineage import cut, cut_table
+from lexiflow.sources.tables import read_table, spread
+
+__all__ = ["MIN_RUNS", "RUN", "cut", "cut_table", "records", "spread", "table"]
+
 #: A run of letters or digits; every "word" of these operators is one.
 RUN = re.compile(r"[^\W_]+")
 
@@ -16,23 +19,8 @@ RUN = re.compile(r"[^\W_]+")
 MIN_RUNS = 8
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; set one of our own only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lexiflow-checkpoints"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there, so that lost executors cost nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def records(df: DataFrame, *columns: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.llm import bpe, lookalike, mojibake, multiset, overlap, packing, reading, termfreq
-from lexiflow.llm.common import records, table
+from lexiflow.llm.common import records, spread, table
 
 
 def _lattice(spark: SparkSession, sf_dir: str, also: DataFrame | None = None) -> lookalike.Lattice:
@@ -43,7 +43,7 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose text was decoded with the wrong encoding: the text restored as far as it can be, and whether wholly."""
-    docs = table(spark, sf_dir, "text_docs").where("td_id is not null").select("td_id", "text")
+    docs = spread(table(spark, sf_dir, "text_docs").where("td_id is not null").select("td_id", "text"))
     found = mojibake.restore(docs, "td_id", "text", mojibake.train(docs))
     return found.groupBy("td_id").agg(F.min("restored").alias("restored"), F.min("text").alias("text"))
 
@@ -55,12 +55,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies hidden by formatting differences, each with the smallest id of its group."""
-    return multiset.copies(table(spark, sf_dir, "text_docs"), "td_id", "text", _lattice(spark, sf_dir))
+    return multiset.copies(spread(table(spark, sf_dir, "text_docs").select("td_id", "text")), "td_id", "text", _lattice(spark, sf_dir))
 
 
 def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record once, with the number of its copies; records of any number of runs."""
-    rows = multiset.classes(table(spark, sf_dir, "text_docs"), "td_id", "text", _lattice(spark, sf_dir), min_runs=0)
+    rows = multiset.classes(spread(table(spark, sf_dir, "text_docs").select("td_id", "text")), "td_id", "text", _lattice(spark, sf_dir), min_runs=0)
     return rows.where("k = keep").select(F.col("keep").alias("td_id"), "copies")
 
 
@@ -85,7 +85,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rows that look the same but differ in characters, in text_docs.text and token_exceptions.orth."""
     rules = table(spark, sf_dir, "token_exceptions")
     lattice = _lattice(spark, sf_dir, rules.select(F.col("orth").alias("text")))
-    texts = lookalike.equal_looking_pairs(table(spark, sf_dir, "text_docs"), "td_id", "text", lattice, min_runs=8)
+    texts = lookalike.equal_looking_pairs(spread(table(spark, sf_dir, "text_docs").select("td_id", "text")), "td_id", "text", lattice, min_runs=8)
     orths = lookalike.equal_looking_pairs(rules, "exc_id", "orth", lattice)
     return texts.select(F.lit("text").alias("field_name"), "key_a", "key_b").unionByName(orths.select(F.lit("orth").alias("field_name"), "key_a", "key_b"))
 
@@ -98,12 +98,12 @@ def p5_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by the public tokenizer."""
-    return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return bpe.encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document, or piece of one, for each capacity."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "pack_specs"), bpe.DEFAULT_FILE)
+    return packing.pack_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, sf_dir, "pack_specs"), bpe.DEFAULT_FILE)
 
 
 def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading.reading_levels(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", table(spark, sf_dir, "graded_passages"))
+    return reading.reading_levels(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), "doc_id", "text", "lang", table(spark, sf_dir, "graded_passages"))
 
 
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
