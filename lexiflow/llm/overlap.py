@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import MIN_RUNS, RUN, cut
+from lexiflow.llm.common import MIN_RUNS, RUN, cut, cut_table
 from lexiflow.llm.lookalike import Lattice
 
 LONG = 64
@@ -158,26 +158,36 @@ def canonical(df: DataFrame, key: str, column: str, side: str, lattice: Lattice,
 
 
 def near_classes(classes: DataFrame, one_in: int = 8) -> DataFrame:
-    """(eval_h, train_h, edits): pairs of different classes, one of each side, that are near; ``classes`` is (side, h, words)."""
+    """(eval_h, train_h, edits): pairs of different classes, one of each side, that are near; ``classes`` is (side, h, words).
+
+    Keys go with the first half of a class's hash, which halves what is shuffled; classes that share it are told apart when
+    their words are joined.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hs, out, counts = [], [], []
             for s, h, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hs.append(h)
+                hs.append(int.from_bytes(h[:8], "little", signed=True))
                 out.append(keys(w.split(" "), s != "train", one_in))
                 counts.append(len(out[-1]))
             if hs:
                 rows = pa.array(np.repeat(np.arange(len(hs)), counts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(hs, pa.binary()).take(rows), batch.column(0).take(rows)], ["key", "h", "side"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(hs, pa.int64()).take(rows)], ["key", "c"])
+
+    @F.pandas_udf("long")
+    def half(h):
+        return h.map(lambda x: int.from_bytes(x[:8], "little", signed=True))
+
+    def made(side: DataFrame) -> DataFrame:
+        return side.select("side", "h", "words").mapInArrow(emit, "key long, c long")
 
-    made = classes.select("side", "h", "words").mapInArrow(emit, "key long, h binary, side string")
-    train, other = made.where("side = 'train'"), made.where("side <> 'train'")
-    found = other.select("key", F.col("h").alias("eval_h")).join(train.select("key", F.col("h").alias("train_h")), "key")
-    found = found.where("eval_h <> train_h").select("eval_h", "train_h").distinct()
-    words = classes.select("side", "h", "words")
-    found = found.join(words.where("side = 'train'").select(F.col("h").alias("train_h"), F.col("words").alias("b")), "train_h")
-    found = found.join(words.where("side <> 'train'").select(F.col("h").alias("eval_h"), F.col("words").alias("a")), "eval_h")
+    train, other = classes.where("side = 'train'"), classes.where("side <> 'train'")
+    found = made(other).withColumnRenamed("c", "eval_c").join(made(train).withColumnRenamed("c", "train_c"), "key")
+    found = found.select("eval_c", "train_c").distinct()
+    found = found.join(train.select(half("h").alias("train_c"), F.col("h").alias("train_h"), F.col("words").alias("b")), "train_c")
+    found = found.join(other.select(half("h").alias("eval_c"), F.col("h").alias("eval_h"), F.col("words").alias("a")), "eval_c")
+    found = found.where("eval_h <> train_h")
 
     @F.pandas_udf("int")
     def edits(a, b):
@@ -202,9 +212,9 @@ def overlaps(df: DataFrame, key: str, column: str, side: str, lattice: Lattice,
     both sides (a path that one descriptor calls train and another one test). Rows with a null key, text or side are
     left out.
     """
-    rows = cut(canonical(df, key, column, side, lattice, min_runs))
+    rows = cut_table(canonical(df, key, column, side, lattice, min_runs))
     classes = rows.withColumn("side", F.when(F.col("side") == "train", "train").otherwise("eval"))
-    classes = cut(classes.groupBy("side", "h").agg(F.min("words").alias("words")))
+    classes = cut_table(classes.groupBy("side", "h").agg(F.min("words").alias("words")))
     train, other = classes.where("side = 'train'").select("h"), classes.where("side <> 'train'").select("h")
     same = other.join(train, "h").select(F.col("h").alias("eval_h"), F.col("h").alias("train_h"), F.lit(0).alias("edits"))
     return rows.select("k", "side", "h"), cut(same.unionByName(near_classes(classes, one_in)))
