@@ -95,7 +95,7 @@ def test_space_split(spark, text, want):
     assert [r["text"] for r in rows] == want
 
 
-def test_sentence_count_of_reference_cases(spark):
-    texts = {"Lorem, ipsum.": 4, "Lorem, (ipsum).": 6, "Lorem ipsum: 1984.": 5, "spacy.io": 1, "explosion.ai": 1, "matt@explosion.ai": 1}
+def test_token_counts(spark):
+    texts = {"Lorem, ipsum.": 4, "Lorem, (ipsum).": 6, "Lorem ipsum: 1984.": 5, "python.org": 1, "example.ai": 1, "matt@example.ai": 1}
     df = spark.createDataFrame([(t, t) for t in texts], "k string, text string")
     assert {r[0]: r[1] for r in tokenize(df, "k").groupBy("k").count().collect()} == texts
