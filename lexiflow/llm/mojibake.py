@@ -35,6 +35,9 @@ LOWEST, DRAG = -4.0, 1.0
 WRONG = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866", "iso8859_15")
 TRUE = ("cp1252", "cp1251", "mac_roman", "cp850", "cp437", "koi8_r", "cp866")
 DEPTH = 3
+#: What one-byte damage there can be at most, in times of its rate; how even its rate is, beside how many letters, and for
+#: how many more letters.
+SLACK, AGREE, CONTEXTS, COMPANIONS = 3.0, 0.7, 4, 2
 RUN_OF_OTHERS = re.compile(r"[^\x00-\x7f]+")
 OTHER = re.compile(r"[^\x00-\x7f]")
 LOST = "�"
@@ -117,11 +120,14 @@ def symbols() -> np.ndarray:
 
 
 SYMBOLS = symbols()
+#: The same, but letters are themselves; with ``EXACT`` in the key.
+LETTERS = np.where([c < 0x80 and chr(c).isalpha() for c in range(0x110000)], np.arange(0x110000), SYMBOLS)
+EXACT, LOW = 1 << 42, (1 << 21) - 1
 
 
-def pair_keys(cp: np.ndarray) -> np.ndarray:
+def pair_keys(cp: np.ndarray, symbol: np.ndarray = SYMBOLS) -> np.ndarray:
     """A key for each adjacent pair, -1 where both are plain or one isn't counted."""
-    s = SYMBOLS[cp]
+    s = symbol[cp]
     a, b = s[:-1], s[1:]
     return np.where(((a < 0x80) & (b < 0x80)) | (a == 0) | (b == 0), -1, a << 21 | b)
 
@@ -130,11 +136,19 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def repertoire() -> list[int]:
+    """Every symbol that a one-byte encoding has: the plain ones and the characters from 0x80 on."""
+    return sorted({*range(1, 0x80), *(ord(c) for e in (*WRONG, *TRUE) for c in forward(e))})
+
+
 def pair_counts(df: DataFrame, column: str) -> DataFrame:
     """(pair, n, records): how often, and in how many rows, each pair stands outside of runs that can be mapped back.
 
-    The row of pair -1 has the number of rows with a text.
+    The row of pair -1 has the number of rows with a text. Pairs with a letter as it is are there besides, with ``EXACT``
+    in their key and without rows, if the other character is in a one-byte encoding.
     """
+    known = np.zeros(0x110000, bool)
+    known[repertoire()] = True
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hide = lambda m: "\x00" * len(m[0]) if len(m[0]) > 1 and invertible(m[0]) or LOST in m[0] else m[0]
@@ -149,7 +163,10 @@ def pair_counts(df: DataFrame, column: str) -> DataFrame:
             pair, code = np.unique(key[some], return_inverse=True)
             n = np.bincount(code, minlength=len(pair))
             both = np.unique(code.astype(np.int64) << 32 | row[some])
-            columns = [np.append(pair, -1), np.append(n, 0), np.append(np.bincount(both >> 32, minlength=len(pair)), len(texts))]
+            exact = pair_keys(cp, LETTERS)[some]
+            exact, times = np.unique(exact[known[exact >> 21] & known[exact & LOW]], return_counts=True)
+            records = np.bincount(both >> 32, minlength=len(pair))
+            columns = [np.concatenate(x) for x in ((pair, exact | EXACT, [-1]), (n, times, [0]), (records, 0 * times, [len(texts)]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["pair", "n", "records"])
 
     return df.select(column).mapInArrow(count, "pair long, n long, records long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("records").alias("records"))
@@ -175,17 +192,74 @@ class Scores:
         return out
 
 
+@lru_cache(maxsize=1)
+def one_byte_maps() -> tuple[dict[int, int], ...]:
+    """For each wrong and true one-byte encoding, the written code point of each one that is read in its place."""
+    out = []
+    for wrong in WRONG:
+        for true in TRUE:
+            pairs = [(ord(x), ord(c)) for x, c in zip(forward(wrong), forward(true), strict=True)]
+            out.append({x: c for x, c in pairs if x != c and x >= 0xA0 and c >= 0xA0})
+    return tuple(out)
+
+
+def damage_records(exact: dict[int, int], records: dict[int, int]) -> dict[int, float]:
+    """How many records of each pair may be one-byte damage of another pair, for pairs where that can be.
+
+    Damage from one encoding to another changes a character in all its contexts alike, so the character it makes stands
+    beside the same letters at one rate, whatever that rate is; a rightful one has contexts of its own. The rate of a
+    letter is the median over its contexts. It counts if ``AGREE`` of what it makes expected is there, beside ``CONTEXTS``
+    different letters or more, for ``COMPANIONS`` more letters of the same mapping too. ``SLACK`` times what is expected
+    can be damage.
+    """
+    around: dict[int, list[tuple[int, int, int]]] = {}
+    for key, n in exact.items():
+        for c in {key >> 21, key & LOW}:
+            if c >= 0x80 and chr(c).isalpha() and min(key >> 21, key & LOW) > 5:
+                around.setdefault(c, []).append((key >> 21, key & LOW, n))
+    beside: dict[int, list[tuple[int, int]]] = {}
+    for key in records:
+        for c in {key >> 21, key & LOW}:
+            beside.setdefault(c, []).append((key >> 21, key & LOW))
+    out: dict[int, float] = {}
+    for back in one_byte_maps():
+        made = {c: x for x, c in back.items()}
+        rates = {}
+        for x, c in back.items():
+            if c not in around:
+                continue
+            seen = sorted((exact.get(made.get(a, a) << 21 | made.get(b, b), 0) / n, n) for a, b, n in around[c])
+            total = sum(n for _, n in seen)
+            rate = seen[int(np.searchsorted(np.cumsum([n for _, n in seen]), total / 2))][0]
+            if 0 < rate < 1 and sum(r > 0 for r, _ in seen) >= CONTEXTS and sum(min(r, rate) * n for r, n in seen) >= AGREE * rate * total:
+                rates[x] = rate
+        if len(rates) <= COMPANIONS:
+            continue
+        for x, v in rates.items():
+            for a, b in beside.get(x, ()):
+                both = min(v, rates.get(a, 0.0) if a in back else v, rates.get(b, 0.0) if b in back else v)
+                key = a << 21 | b
+                out[key] = max(out.get(key, 0.0), SLACK * both * records.get(back.get(a, a) << 21 | back.get(b, b), 0))
+    return out
+
+
 def train(df: DataFrame, column: str = "text") -> Scores:
-    """Scores from all rows. At most 1 / SUPPORT times the mean number of pairs in a row have support and reach the driver."""
+    """Scores from all rows. A pair has support by the records that can't be one-byte damage of a more frequent pair.
+
+    At most 1 / SUPPORT times the mean number of pairs in a row, and the pairs of the one-byte alphabets, reach the driver.
+    """
     every = cut(pair_counts(df, column))
     rows = every.where("pair = -1").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     a, b = F.shiftright("pair", 21), F.col("pair").bitwiseAND((1 << 21) - 1)
-    counts = every.where("pair >= 0").withColumn("a", a).withColumn("b", b)
+    counts = every.where((F.col("pair") >= 0) & (F.col("pair") < EXACT)).withColumn("a", a).withColumn("b", b)
     left, right = counts.groupBy("a").agg(F.sum("n").alias("na")), counts.groupBy("b").agg(F.sum("n").alias("nb"))
-    kept = counts.where(F.col("records") >= max(LEAST, SUPPORT * rows))
+    least = max(LEAST, SUPPORT * rows)
+    kept = counts.where(F.col("records") >= least)
     total = counts.agg(F.sum("n")).scalar()
-    scored = kept.join(left, "a").join(right, "b").select("pair", F.log(F.col("n") * F.lit(1.0) * total / F.col("na") / F.col("nb")).alias("score"))
-    return Scores([(r[0], r[1]) for r in scored.collect()])
+    scored = kept.join(left, "a").join(right, "b").select("pair", "records", F.log(F.col("n") * F.lit(1.0) * total / F.col("na") / F.col("nb")).alias("score"))
+    found, exact = scored.collect(), every.where(F.col("pair") >= EXACT).select("pair", "n").collect()
+    damage = damage_records({k - EXACT: n for k, n in exact}, {r[0]: r[1] for r in found})
+    return Scores([(k, score) for k, records, score in found if records - damage.get(k, 0.0) >= least])
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int]]:

@@ -78,3 +78,16 @@ def test_rows(spark, scores):
     assert set(got) == {1, 6, 7} and got[1] == (True, "Le résumé a été préparé") and got[7][0]
     empty = spark.createDataFrame([], "id long, text string")
     assert M.restore(empty, "id", "text", M.train(empty)).count() == 0
+
+
+@pytest.mark.parametrize(("wrong", "true"), [("cp437", "cp1252"), ("mac_roman", "cp1252"), ("cp1251", "koi8_r")])
+def test_frequent_one_byte_damage_does_not_vouch_for_itself(spark, wrong, true):
+    rng = random.Random(9)
+    words = RU.split() if true == "koi8_r" else f"{DE} {FR} {PT}".split()
+    texts = [" ".join(rng.choice(words) for _ in range(14)) for _ in range(1500)]
+    texts = [t.upper() if i % 11 == 0 and true == "koi8_r" else t for i, t in enumerate(texts)]
+    rows = [garble(t, wrong, true) if i % 3 == 0 else t for i, t in enumerate(texts)]
+    scores = M.train(spark.createDataFrame([(t,) for t in rows], "text string"))
+    found = [M.repair(t, scores)[0] for t in rows]
+    assert sum(found[::3]) >= 0.9 * len(found[::3])
+    assert sum(found) - sum(found[::3]) == 0
