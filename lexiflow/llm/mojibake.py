@@ -40,6 +40,7 @@ DEPTH = 3
 SLACK, AGREE, CONTEXTS, COMPANIONS = 3.0, 0.7, 4, 2
 RUN_OF_OTHERS = re.compile(r"[^\x00-\x7f]+")
 OTHER = re.compile(r"[^\x00-\x7f]")
+CYRILLIC_RUN = re.compile("[\u0400-\u052f]{2}")
 LOST = "�"
 #: Control characters that no text has on purpose; only a wrong encoding makes them.
 STRAY = re.compile("[\x80-\x84\x86-\x9f]")
@@ -123,6 +124,8 @@ SYMBOLS = symbols()
 #: The same, but letters are themselves; with ``EXACT`` in the key.
 LETTERS = np.where([c < 0x80 and chr(c).isalpha() for c in range(0x110000)], np.arange(0x110000), SYMBOLS)
 EXACT, LOW = 1 << 42, (1 << 21) - 1
+#: Of a character between two plain ones, letters as they are, the key has this bit.
+TRIPLE = 1 << 43
 
 
 def pair_keys(cp: np.ndarray, symbol: np.ndarray = SYMBOLS) -> np.ndarray:
@@ -132,6 +135,14 @@ def pair_keys(cp: np.ndarray, symbol: np.ndarray = SYMBOLS) -> np.ndarray:
     return np.where(((a < 0x80) & (b < 0x80)) | (a == 0) | (b == 0), -1, a << 21 | b)
 
 
+def triple_keys(cp: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """A key for each single character of the known ones that stands between two plain ones."""
+    s = LETTERS[cp]
+    a, c, b = s[:-2], s[1:-1], s[2:]
+    some = (c >= 0x80) & known[c] & (a < 0x80) & (b < 0x80) & (a > 0) & (b > 0)
+    return TRIPLE | a[some] << 28 | c[some] << 7 | b[some]
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
@@ -141,14 +152,24 @@ def repertoire() -> list[int]:
     return sorted({*range(1, 0x80), *(ord(c) for e in (*WRONG, *TRUE) for c in forward(e))})
 
 
+def in_repertoire() -> np.ndarray:
+    out = np.zeros(0x110000, bool)
+    out[repertoire()] = True
+    return out
+
+
+IN_REPERTOIRE = in_repertoire()
+RUN_OF_BYTES = re.compile("[" + "".join(re.escape(chr(c)) for c in repertoire() if c >= 0x80) + "]+")
+
+
 def pair_counts(df: DataFrame, column: str) -> DataFrame:
     """(pair, n, records): how often, and in how many rows, each pair stands outside of runs that can be mapped back.
 
     The row of pair -1 has the number of rows with a text. Pairs with a letter as it is are there besides, with ``EXACT``
-    in their key and without rows, if the other character is in a one-byte encoding.
+    in their key and without rows, if the other character is in a one-byte encoding; with ``TRIPLE``, such characters
+    between two plain ones.
     """
-    known = np.zeros(0x110000, bool)
-    known[repertoire()] = True
+    known = IN_REPERTOIRE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hide = lambda m: "\x00" * len(m[0]) if len(m[0]) > 1 and invertible(m[0]) or LOST in m[0] else m[0]
@@ -165,18 +186,23 @@ def pair_counts(df: DataFrame, column: str) -> DataFrame:
             both = np.unique(code.astype(np.int64) << 32 | row[some])
             exact = pair_keys(cp, LETTERS)[some]
             exact, times = np.unique(exact[known[exact >> 21] & known[exact & LOW]], return_counts=True)
+            triple, often = np.unique(triple_keys(cp, known), return_counts=True)
+            exact, times = np.append(exact | EXACT, triple), np.append(times, often)
             records = np.bincount(both >> 32, minlength=len(pair))
-            columns = [np.concatenate(x) for x in ((pair, exact | EXACT, [-1]), (n, times, [0]), (records, 0 * times, [len(texts)]))]
+            columns = [np.concatenate(x) for x in ((pair, exact, [-1]), (n, times, [0]), (records, 0 * times, [len(texts)]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["pair", "n", "records"])
 
     return df.select(column).mapInArrow(count, "pair long, n long, records long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("records").alias("records"))
 
 
 class Scores:
-    """Mutual information of the pairs that have support; any other pair of its kind has the lowest score."""
+    """Mutual information of the pairs that have support; any other pair of its kind has the lowest score.
 
-    def __init__(self, rows: list[tuple[int, float]]):
-        rows = sorted(rows)
+    ``letters`` says how often a character stands between two plain ones, letters as they are.
+    """
+
+    def __init__(self, rows: list[tuple[int, float]], letters: dict[int, int] | None = None):
+        rows, self.letters = sorted(rows), letters or {}
         self.keys, self.score = np.array([k for k, _ in rows], dtype=np.int64), np.array([s for _, s in rows], dtype=float)
 
     def of(self, cp: np.ndarray) -> np.ndarray:
@@ -258,8 +284,9 @@ def train(df: DataFrame, column: str = "text") -> Scores:
     total = counts.agg(F.sum("n")).scalar()
     scored = kept.join(left, "a").join(right, "b").select("pair", "records", F.log(F.col("n") * F.lit(1.0) * total / F.col("na") / F.col("nb")).alias("score"))
     found, exact = scored.collect(), every.where(F.col("pair") >= EXACT).select("pair", "n").collect()
-    damage = damage_records({k - EXACT: n for k, n in exact}, {r[0]: r[1] for r in found})
-    return Scores([(k, score) for k, records, score in found if records - damage.get(k, 0.0) >= least])
+    damage = damage_records({k - EXACT: n for k, n in exact if k < TRIPLE}, {r[0]: r[1] for r in found})
+    letters = {k: n for k, n in exact if k >= TRIPLE and n >= max(LEAST, SUPPORT * rows / 10)}
+    return Scores([(k, score) for k, records, score in found if records - damage.get(k, 0.0) >= least], letters)
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int]]:
@@ -304,40 +331,77 @@ def _mapped(part: str, before: str, after: str, scores: Scores) -> str | None:
     return best
 
 
+def _spelt(before: str, now: str, out: str, after: str, scores: Scores) -> bool:
+    """Whether all pairs of ``out`` have support, and a single character is more frequent between these letters than now.
+
+    A letter known here isn't taken for a sign, nor a sign for a letter but between two letters, and a look-alike letter
+    isn't put in. Most pairs of a longer
+    run must lack support now, as those of a rare word don't.
+    """
+    if scores.of(code_points(before + out + after)).min(initial=0) <= LOWEST:
+        return False
+    if len(out) > 1:
+        score = scores.of(code_points(before + now + after))
+        return 2 * int((score <= LOWEST).sum()) > len(score)
+    if ord(out) in NO_EVIDENCE or not (before + after).strip():
+        return False
+    if out.isalpha() and not now.isalpha() and not (before.isalpha() and after.isalpha()):
+        return False
+    old, new = (sum(scores.letters.get(k, 0) for k in triple_keys(code_points((before or " ") + c + (after or " ")), IN_REPERTOIRE).tolist()) for c in (now, out))
+    return new > old and (not old or out.isalpha() or not now.isalpha())
+
+
 def _byte_mapping(text: str, runs: list[tuple[int, int]], scores: Scores) -> str | None:
-    """The text with all improbable runs mapped from one one-byte encoding to another, if one pair of them explains all.
+    """The text with improbable runs mapped from one one-byte encoding to another, as far as pairs of them explain them.
 
-    A wrong encoding changes every character alike, so one mapping must make all runs probable, and there must be two
-    different characters, or three in all, that aren't merely look-alike letters, blanks or ignorable characters. A
-    single character is enough if it isn't a letter and neither of its pairs has support, but both of the new one have.
+    If one mapping makes all runs probable, their characters must be two different ones, or three in all, that aren't
+    merely look-alike letters, blanks or ignorable characters, or a single sign of which neither pair has support, but
+    both of the new one have. Any other run, however few characters it has, may be mapped if all its pairs get support and
+    its character is more frequent between these very letters; of several mappings the one that explains most goes first. Characters that
+    no one-byte encoding has aren't part of a run.
     """
-    chars = [c for s, e in runs for c in text[s:e] if ord(c) not in NO_EVIDENCE]
-    few = len(chars) < 3 and len(set(chars)) < 2
-    if few and (len(chars) != 1 or chars[0].isalpha()):
-        return None
-    around = [(text[max(0, s - 1) : s], text[s:e], text[e : e + 1]) for s, e in runs]
-    now = sum(cost("".join(x), scores) for x in around)
-    best, least = None, 0.1 * now
-    if few and (now < -2 * LOWEST or not all(a and b for a, _, b in around)):
-        return None
-    for wrong in WRONG:
-        raws = [to_bytes(x, wrong) for _, x, _ in around]
-        if None in raws:
-            continue
-        for true in TRUE:
-            if true == wrong:
-                continue
-            table = forward(true)
-            outs = ["".join(chr(x) if x < 0x80 else table[x - 0x80] for x in raw) for raw in raws]
-            c = sum(cost(x[0] + o + x[2], scores) for x, o in zip(around, outs, strict=True))
-            if c < least and not (few and c):
-                best, least = outs, c
-    if best is None:
+    runs = [(m.start(), m.end()) for s, e in runs for m in RUN_OF_BYTES.finditer(text, s, e)]
+    edge = lambda c: "" if c > "\x7f" else c
+    around = [(edge(text[max(0, s - 1) : s]), text[s:e], edge(text[e : e + 1])) for s, e in runs]
+    cost_now = [cost("".join(x), scores) for x in around]
+    if CYRILLIC_RUN.search(text):  # a Cyrillic letter among Latin ones is a look-alike of such a text, not damage
+        mixed = {i for i, (a, x, b) in enumerate(around) if CYRILLIC_RUN.match(x + x) and (a.isalpha() or b.isalpha())}
+    else:
+        mixed = set()
+    done: dict[int, str] = {}
+    while len(done) < len(runs):
+        rest = [i for i in range(len(runs)) if i not in done and cost_now[i] >= -LOWEST]
+        chars = [c for i in rest for c in around[i][1] if ord(c) not in NO_EVIDENCE]
+        if not chars:
+            break
+        few = len(chars) < 3 and len(set(chars)) < 2
+        now = sum(cost_now[i] for i in rest)
+        sign = few and len(chars) == 1 and not chars[0].isalpha() and now >= -2 * LOWEST and all(around[i][0] and around[i][2] for i in rest)
+        best, most = {}, 0.0
+        for wrong in WRONG:
+            raws = {i: raw for i in rest if (raw := to_bytes(around[i][1], wrong)) is not None}
+            for true in TRUE if raws else ():
+                if true == wrong:
+                    continue
+                table = forward(true)
+                outs = {i: "".join(chr(x) if x < 0x80 else table[x - 0x80] for x in raw) for i, raw in raws.items()}
+                outs = {i: o for i, o in outs.items() if o != around[i][1]}
+                left = {i: cost(around[i][0] + o + around[i][2], scores) for i, o in outs.items()}
+                c = sum(left.values())
+                if len(outs) < len(rest) or c >= 0.1 * now or few and (c or not sign):
+                    outs = {i: o for i, o in outs.items() if i not in mixed and left[i] < cost_now[i] and any(ord(x) not in NO_EVIDENCE for x in around[i][1]) and _spelt(around[i][0], around[i][1], o, around[i][2], scores)}
+                gain = sum(cost_now[i] - left[i] for i in outs)
+                if gain > most:
+                    best, most = outs, gain
+        if not best:
+            break
+        done |= best
+    if not done:
         return None
     parts, at = [], 0
-    for (s, e), out in zip(runs, best, strict=True):
-        parts += [text[at:s], out]
-        at = e
+    for i, out in sorted(done.items()):
+        parts += [text[at : runs[i][0]], out]
+        at = runs[i][1]
     return "".join([*parts, text[at:]])
 
 

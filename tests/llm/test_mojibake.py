@@ -91,3 +91,10 @@ def test_frequent_one_byte_damage_does_not_vouch_for_itself(spark, wrong, true):
     found = [M.repair(t, scores)[0] for t in rows]
     assert sum(found[::3]) >= 0.9 * len(found[::3])
     assert sum(found) - sum(found[::3]) == 0
+
+
+@pytest.mark.parametrize(("wrong", "text"), [("mac_roman", "Das frühstück"), ("mac_roman", "un rép"), ("cp437", "der straße"), ("mac_roman", "Le résumé")])
+def test_few_characters_of_one_byte_damage(spark, corpus, wrong, text):
+    scores = M.train(spark.createDataFrame([(t,) for t in [*corpus, *["das frühstück war gut"] * 40]], "text string"))
+    assert M.repair(garble(text, wrong, "cp1252"), scores) == (True, True, text)
+    assert not M.repair(text, scores)[0]
