@@ -98,3 +98,10 @@ def test_few_characters_of_one_byte_damage(spark, corpus, wrong, text):
     scores = M.train(spark.createDataFrame([(t,) for t in [*corpus, *["das frühstück war gut"] * 40]], "text string"))
     assert M.repair(garble(text, wrong, "cp1252"), scores) == (True, True, text)
     assert not M.repair(text, scores)[0]
+
+
+def test_one_byte_damage_of_some_runs(scores):
+    french, german = garble("Le résumé a été préparé", "mac_roman", "cp1252"), garble("die größe der straße", "cp437", "cp1252")
+    assert M.repair(f"{french} 漢 \U0001f9ff x​y", scores)[::2] == (True, "Le résumé a été préparé 漢 \U0001f9ff x​y")
+    assert M.repair(f"{french} {german}", scores)[::2] == (True, "Le résumé a été préparé die größe der straße")
+    assert M.repair(f"Le modèle {french}\U0001f9ff", scores)[::2] == (True, "Le modèle Le résumé a été préparé\U0001f9ff")
