@@ -334,7 +334,7 @@ def _mapped(part: str, before: str, after: str, scores: Scores) -> str | None:
 def _spelt(before: str, now: str, out: str, after: str, scores: Scores) -> bool:
     """Whether all pairs of ``out`` have support, and a single character is more frequent between these letters than now.
 
-    A letter known here isn't taken for a sign, nor a sign for a letter but between two letters, and a look-alike letter
+    A letter beside another isn't taken for a sign, nor a sign for a letter but between two letters, and a look-alike letter
     isn't put in. Most pairs of a longer
     run must lack support now, as those of a rare word don't.
     """
@@ -347,6 +347,8 @@ def _spelt(before: str, now: str, out: str, after: str, scores: Scores) -> bool:
         return False
     if out.isalpha() and not now.isalpha() and not (before.isalpha() and after.isalpha()):
         return False
+    if now.isalpha() and not out.isalpha() and (before.isalpha() or after.isalpha()):
+        return False
     old, new = (sum(scores.letters.get(k, 0) for k in triple_keys(code_points((before or " ") + c + (after or " ")), IN_REPERTOIRE).tolist()) for c in (now, out))
     return new > old and (not old or out.isalpha() or not now.isalpha())
 
