@@ -32,8 +32,12 @@ SUPPORT, LEAST = 0.001, 3
 #: Score of a pair without support, and what each pair takes off the improbability of a segment.
 LOWEST, DRAG = -4.0, 1.0
 #: Wrong encodings a text may have come through, and one-byte encodings it may have been written in.
-WRONG = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866", "iso8859_15")
+WRONG = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866", "iso8859_15", "cp1250", "iso8859_2")
 TRUE = ("cp1252", "cp1251", "mac_roman", "cp850", "cp437", "koi8_r", "cp866")
+#: Wrong encodings whose letters stand in many rare names, so a few of them are no evidence of one-byte damage.
+NAMES = ("cp1250", "iso8859_2")
+#: Encodings of two bytes that UTF-8 may have been read in.
+WIDE = ("gbk",)
 DEPTH = 3
 #: What one-byte damage there can be at most, in times of its rate; how even its rate is, beside how many letters, and for
 #: how many more letters.
@@ -75,6 +79,11 @@ def backward(encoding: str) -> dict[int, int]:
 
 
 def to_bytes(text: str, encoding: str) -> bytes | None:
+    if encoding in WIDE:
+        try:
+            return text.encode(encoding)
+        except UnicodeEncodeError:
+            return None
     table = backward(encoding)
     try:
         return bytes(o if (o := ord(c)) < 0x80 else table[o] for c in text)
@@ -321,7 +330,7 @@ def _mapped(part: str, before: str, after: str, scores: Scores) -> str | None:
     """The best mapping of ``part`` back through a wrong encoding and forward as UTF-8, between its neighbours, or None."""
     now = cost(before + part + after, scores)
     best, least = None, now
-    for wrong in WRONG if len(part) > 1 else ():
+    for wrong in (*WRONG, *WIDE) if min(part) >= "\u3400" else WRONG if len(part) > 1 else ():
         if (out := as_utf8(part, wrong)) is not None and out != part:
             c = cost(before + out + after, scores)
             if c < least - 1e-9:
@@ -331,6 +340,57 @@ def _mapped(part: str, before: str, after: str, scores: Scores) -> str | None:
     return best
 
 
+@lru_cache(maxsize=None)
+def sequences(encoding: str) -> re.Pattern:
+    """UTF-8 sequences of two to four bytes as a wrong encoding shows them."""
+    shown: dict[int, str] = {}
+    for c, b in backward(encoding).items():
+        shown[b] = shown.get(b, "") + re.escape(chr(c))
+    some = lambda a, b: "[" + "".join(shown.get(x, "") for x in range(a, b)) + "]"
+    rest = some(0x80, 0xC0)
+    return re.compile(f"(?:{some(0xC2, 0xE0)}{rest}|{some(0xE0, 0xF0)}{rest}{{2}}|{some(0xF0, 0xF5)}{rest}{{3}})+")
+
+
+def _part_mapped(part: str, before: str, after: str, scores: Scores) -> str | None:
+    """``part`` with only the UTF-8 sequences in it mapped back, where they stand beside rightful signs, or None."""
+    best, least = None, cost(before + part + after, scores) + LOWEST / 2
+    for wrong in WRONG if len(part) > 2 else ():
+        out = sequences(wrong).sub(lambda m: as_utf8(m[0], wrong) or m[0], part)  # noqa: B023
+        if out == part or any(c.isalpha() or c.isspace() for c in sequences(wrong).sub("", part)):
+            continue
+        if (c := cost(before + out + after, scores)) < least and scores.of(code_points(before + out + after)).min(initial=0) > LOWEST:
+            best, least = out, c
+    return best
+
+
+@lru_cache(maxsize=None)
+def begun(first: str) -> tuple[str, ...]:
+    """Latin letters whose UTF-8 form begins with ``first`` in one of the wrong encodings."""
+    if ord(first) in NO_EVIDENCE or all(backward(w).get(ord(first)) != 0xC3 for w in WRONG):
+        return ()
+    return tuple(c for c in map(chr, range(0xC0, 0x100)) if c.isalpha() and c != first)
+
+
+def _torn(text: str, runs: list[tuple[int, int]], scores: Scores) -> tuple[bool, str]:
+    """(found, text): whether a single character is the rest of a torn UTF-8 sequence, by the letters around it.
+
+    One whose second byte, a no-break space, became a blank is restored; others stay, as the lost byte isn't known.
+    """
+    found, parts, at = False, [], 0
+    for s, e in runs:
+        first, before = text[s:e], text[max(0, s - 1) : s]
+        if e - s > 1 or not before.isalpha():
+            continue
+        blank = bytes([first_byte, 0xA0]).decode("utf-8", "ignore") if text[e : e + 1] == " " and (first_byte := backward("cp1252").get(ord(first), 0)) >= 0xC2 else ""
+        if blank and _spelt(before, first, blank, text[e + 1 : e + 2], scores):
+            parts += [text[at:s], blank]
+            at, found = e + 1, True
+        elif text[e : e + 1].isalpha() and any(_spelt(before, first, c, text[e : e + 1], scores) for c in begun(first)):
+            parts += [text[at:s], LOST]
+            at, found = e, True
+    return found, "".join([*parts, text[at:]])
+
+
 def _spelt(before: str, now: str, out: str, after: str, scores: Scores) -> bool:
     """Whether all pairs of ``out`` have support, and a single character is more frequent between these letters than now.
 
@@ -391,7 +451,7 @@ def _byte_mapping(text: str, runs: list[tuple[int, int]], scores: Scores) -> str
                 left = {i: cost(around[i][0] + o + around[i][2], scores) for i, o in outs.items()}
                 c = sum(left.values())
                 if len(outs) < len(rest) or c >= 0.1 * now or few and (c or not sign):
-                    outs = {i: o for i, o in outs.items() if i not in mixed and left[i] < cost_now[i] and any(ord(x) not in NO_EVIDENCE for x in around[i][1]) and _spelt(around[i][0], around[i][1], o, around[i][2], scores)}
+                    outs = {i: o for i, o in outs.items() if wrong not in NAMES and i not in mixed and left[i] < cost_now[i] and any(ord(x) not in NO_EVIDENCE for x in around[i][1]) and _spelt(around[i][0], around[i][1], o, around[i][2], scores)}
                 gain = sum(cost_now[i] - left[i] for i in outs)
                 if gain > most:
                     best, most = outs, gain
@@ -446,16 +506,23 @@ def repair(text: str, scores: Scores) -> tuple[bool, bool, str]:
             for s, e in [(a, b), *runs] if len(runs) > 1 else runs:
                 if s < at or _closes(text, s, e) or LOST in text[s:e]:
                     continue
-                out = _mapped(text[s:e], text[max(0, s - 1) : s], text[e : e + 1], scores)
+                around = text[s:e], text[max(0, s - 1) : s], text[e : e + 1]
+                out = _mapped(*around, scores)
+                if out is None and RUN_OF_OTHERS.fullmatch(text[s:e]):
+                    out = _part_mapped(*around, scores)
                 if out is not None:
                     parts += [text[at:s], out]
                     at, changed = e, True
         if not changed:
             break
         text, damaged = "".join([*parts, text[at:]]), True
-    left = [(m.start(), m.end()) for a, b in _suspects(text, scores) for m in RUN_OF_OTHERS.finditer(text, a, b) if LOST not in m[0] and not _closes(text, a, b)]
-    if left and (out := _byte_mapping(text, left, scores)) is not None:
+    left = lambda: [(m.start(), m.end()) for a, b in _suspects(text, scores) for m in RUN_OF_OTHERS.finditer(text, a, b) if LOST not in m[0] and not _closes(text, a, b)]
+    if (runs := left()) and (out := _byte_mapping(text, runs, scores)) is not None:
         text, damaged = out, True
+    if runs and (runs := left()):
+        torn, out = _torn(text, runs, scores)
+        if torn:
+            text, damaged = out, True
     return damaged, damaged and not lost and LOST not in text and not STRAY.search(text), text
 
 

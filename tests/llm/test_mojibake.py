@@ -105,3 +105,14 @@ def test_one_byte_damage_of_some_runs(scores):
     assert M.repair(f"{french} 漢 \U0001f9ff x​y", scores)[::2] == (True, "Le résumé a été préparé 漢 \U0001f9ff x​y")
     assert M.repair(f"{french} {german}", scores)[::2] == (True, "Le résumé a été préparé die größe der straße")
     assert M.repair(f"Le modèle {french}\U0001f9ff", scores)[::2] == (True, "Le modèle Le résumé a été préparé\U0001f9ff")
+
+
+def test_pieces_of_utf8(spark, corpus):
+    more = ["il est là où le résumé est", "« été » et «élan» et «é»", "où là"] * 40
+    scores = M.train(spark.createDataFrame([(t,) for t in [*corpus, *more]], "text string"))
+    assert M.repair("il est lÃ  où le modèle", scores) == (True, True, "il est là où le modèle")
+    assert M.repair("le modèle a rÃpété", scores)[:2] == (True, False)
+    assert M.repair("un «Ã©lan» modèle", scores) == (True, True, "un «élan» modèle")
+    assert M.repair(garble("le résumé", "cp1250"), scores) == (True, True, "le résumé")
+    assert M.repair("le résumé a été".encode().decode("gbk"), scores) == (True, True, "le résumé a été")
+    assert [t for t in [*corpus, *more] if M.repair(t, scores)[0]] == []
