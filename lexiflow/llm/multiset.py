@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from lexiflow.llm.common import MIN_RUNS, RUN, cut
 from lexiflow.llm.lookalike import Lattice
 
-NAME = r"[^\W\d_][\w.-]*(?: [^\W\d_][\w.-]*)?"
-#: How named fields are written: a tag, or a name with a colon, an equals sign or a spaced dash, each with its own
+NAME = r"[^\W\d_][\w.-]*(?: [\w.-]+)*"
+#: How named fields are written (a name has any number of words, but one between blanks): a tag, or a name with a colon, an equals sign or a spaced dash, each with its own
 #: sign between fields. A record has fields only if the first one begins it and there are two or more.
 TAG = re.compile(rf"<({NAME})>")
 QUOTED = re.compile(rf"[\"']({NAME})[\"']\s*:\s*")
 PIPED = re.compile(rf"(?:^[\W_]*|\|\s*)({NAME})\s*:\s*")
-COLON_TAB = re.compile(r"(?:^[\W_]*|\s+)([^\W\d_][\w.-]*):(?=\S)")
+COLON_TAB = re.compile(rf"(?:(?:^[\W_]*|\t\s*)({NAME})|\s+([^\W\d_][\w.-]*)):(?=\S)")
 EQUALS = re.compile(rf"(?:^[\W_]*|;\s*)({NAME})\s*=\s*")
 DASHED = re.compile(rf"(?:^[\W_]*|,\s*)({NAME})\s+[-–—]\s+")
 STYLES = (TAG, QUOTED, EQUALS, PIPED, COLON_TAB, DASHED)
@@ -44,7 +44,7 @@ def fields(text: str) -> list[tuple[str, str]] | None:
         if len(found) < FIRST or RUN.search(text, 0, found[0].start()):
             continue
         ends = [m.start() for m in found[1:]] + [len(text)]
-        return [(m[1], text[m.end() : e]) for m, e in zip(found, ends, strict=True)]
+        return [(m[m.lastindex], text[m.end() : e]) for m, e in zip(found, ends, strict=True)]
     return None
 
 

@@ -66,3 +66,14 @@ def test_like_brute_force(spark):
 
 def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
     assert not M._same("a\x1fb\x1ec\x1fd", "a\x1fb\x1ec\x1fe") and M._same("a\x1fb\x1ec\x1fd", "c\x1fd\x1ea\x1fb")
+
+
+@pytest.mark.parametrize("style", STYLES)
+def test_names_of_many_words(style):
+    own = [("date of last change", "1750 06"), ("source", "Peirk word"), ("name of the 2 owners", "Lo Tri")]
+    got = [M.canonical_pairs(STYLES[style](list(order))) for order in itertools.permutations(own)]
+    assert all(dict(g) == {n: v.casefold() for n, v in own} for g in got)
+
+
+def test_fields_between_blanks():
+    assert M.canonical_pairs("length:24 m near Lo source:Peirk word") == [("length", "24 m near lo"), ("source", "peirk word")]
