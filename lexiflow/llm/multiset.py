@@ -23,6 +23,8 @@ from lexiflow.llm.common import MIN_RUNS, RUN, cut
 from lexiflow.llm.lookalike import Lattice
 
 NAME = r"[^\W\d_][\w.-]*(?: [\w.-]+)*"
+#: With a dash, prose has clauses of many words that look like fields, so a name has two words at most there.
+SHORT = r"[^\W\d_][\w.-]*(?: [^\W\d_][\w.-]*)?"
 #: How named fields are written (a name has any number of words, but one between blanks): a tag, or a name with a colon, an equals sign or a spaced dash, each with its own
 #: sign between fields. A record has fields only if the first one begins it and there are two or more.
 TAG = re.compile(rf"<({NAME})>")
@@ -30,7 +32,7 @@ QUOTED = re.compile(rf"[\"']({NAME})[\"']\s*:\s*")
 PIPED = re.compile(rf"(?:^[\W_]*|\|\s*)({NAME})\s*:\s*")
 COLON_TAB = re.compile(rf"(?:(?:^[\W_]*|\t\s*)({NAME})|\s+([^\W\d_][\w.-]*)):(?=\S)")
 EQUALS = re.compile(rf"(?:^[\W_]*|;\s*)({NAME})\s*=\s*")
-DASHED = re.compile(rf"(?:^[\W_]*|,\s*)({NAME})\s+[-–—]\s+")
+DASHED = re.compile(rf"(?:^[\W_]*|,\s*)({SHORT})\s+[-–—]\s+")
 STYLES = (TAG, QUOTED, EQUALS, PIPED, COLON_TAB, DASHED)
 FIRST = 2
 
