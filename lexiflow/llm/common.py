@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.plans.lineage import cut, cut_table
-from lexiflow.sources.tables import read_table, spread
+from lexiflow.sources.tables import read_table
 
-__all__ = ["MIN_RUNS", "RUN", "cut", "cut_table", "records", "spread", "table"]
+__all__ = ["MIN_RUNS", "RUN", "cut", "cut_table", "records", "table"]
 
 #: A run of letters or digits; every "word" of these operators is one.
 RUN = re.compile(r"[^\W_]+")

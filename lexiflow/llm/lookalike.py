@@ -2,14 +2,18 @@
 
 The form is found in three steps:
 
-1. compatibility normalisation of full-width forms, ligatures and odd blanks, deletion of ignorable characters, and
-   canonical composition of accents;
+1. compatibility normalisation of what looks the same (full-width and half-width forms, letters in other fonts,
+   presentation forms, ligatures, odd blanks), deletion of ignorable characters, and canonical composition of accents.
+   Superscripts, fractions, circled letters and signs look different, so they stay;
 2. every look-alike letter is brought to a prototype, which gives the *skeleton* of the text. Texts that look the same
    have the same skeleton;
-3. each word of the skeleton opens a lattice: at every place the letters of the Latin, Cyrillic and Greek scripts that
-   share the prototype. A Viterbi search picks the path of the best character bigram score, where a change of script
-   inside a word costs ``SWITCH``, and the script that prevails among the unmistakable letters of the text (Latin if
-   it has none) gets ``CONTEXT`` a letter.
+3. each word of the skeleton opens a lattice: at every place the letters of all scripts (Latin, Cyrillic, Greek, Armenian,
+   Cherokee) that share the prototype. A Viterbi search picks the path of the best character bigram score, where a change
+   of script inside a word costs ``SWITCH``, and the script that prevails among the unmistakable letters of the text (Latin
+   if it has none) gets ``CONTEXT`` a letter.
+
+The skeleton of a batch of texts is one lookup in a table of code points; only texts with characters that come out as
+several, or that join their neighbours, are worked on one by one.
 
 As the result depends on the skeleton alone, texts that look the same always get the same form. Letter case, accents and
 punctuation signs are kept. Nulls stay null, an empty text stays empty, a text of ignorable characters becomes empty.
@@ -20,13 +24,16 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters of two other scripts that are drawn like the Latin letter before them.
+from lexiflow.plans.skew import lookup
+
+# Letters of four other scripts that are drawn like the Latin letter before them.
 CYRILLIC = {
     "a": "а", "c": "с", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "ј", "l": "ӏ", "o": "о", "p": "р", "q": "ԛ", "s": "ѕ", "w": "ԝ", "x": "х", "y": "у",
     "A": "А", "B": "В", "C": "С", "E": "Е", "H": "Н", "I": "І", "J": "Ј", "K": "К", "M": "М", "O": "О", "P": "Р", "S": "Ѕ", "T": "Т", "X": "Х", "Y": "У",
@@ -36,58 +43,126 @@ GREEK = {
     "A": "Α", "B": "Β", "E": "Ε", "H": "Η", "I": "Ι", "K": "Κ", "M": "Μ", "N": "Ν", "O": "Ο", "P": "Ρ", "T": "Τ", "X": "Χ", "Y": "Υ", "Z": "Ζ",
 }
 
+ARMENIAN = {"g": "ց", "h": "հ", "n": "ո", "o": "օ", "q": "զ", "u": "ս", "L": "Լ", "O": "Օ", "S": "Տ", "U": "Ս"}
+CHEROKEE = {
+    "A": "Ꭺ", "B": "Ᏼ", "C": "Ꮯ", "D": "Ꭰ", "E": "Ꭼ", "G": "Ꮐ", "H": "Ꮋ", "J": "Ꭻ", "K": "Ꮶ", "L": "Ꮮ", "M": "Ꮇ", "P": "Ꮲ", "R": "Ꭱ", "S": "Ꮪ", "T": "Ꭲ", "V": "Ꮩ", "W": "Ꮃ", "Z": "Ꮓ",
+}
+
+#: The planes that have characters with a decomposition or without a shape; the others have ideographs and private ones.
+LOOKED_AT = [*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE1000)]
 #: Characters that are not seen: format characters (soft hyphen, joiners, zero-width blanks, direction marks, byte order
-#: mark and the like) but for the Arabic and Syriac ones that are drawn, and four fillers.
-DRAWN = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2}
-IGNORABLE = [cp for cp in range(0x80, 0x10000) if unicodedata.category(chr(cp)) == "Cf" and cp not in DRAWN] + [0x34F, 0x115F, 0x1160, 0x3164]
+#: mark, tags and the like) but for those that are drawn (signs before Arabic, Syriac, Kaithi and Egyptian text), fillers,
+#: and selectors of variants.
+DRAWN = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD, *range(0x13430, 0x13456)}
+SELECTORS = [*range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
+IGNORABLE = [cp for cp in LOOKED_AT if unicodedata.category(chr(cp)) == "Cf" and cp not in DRAWN] + [0x34F, 0x115F, 0x1160, 0x3164, 0xFFA0, *SELECTORS]
+#: Kinds of compatibility characters that look like what they stand for; ``<compat>`` is one for letters only.
+SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 
 #: Log-probabilities: the cost of a change of script within a word, and the worth of a letter in the text's own script.
 SWITCH, CONTEXT, SMOOTH = -25.0, 6.0, 0.5
 
-SCRIPTS = ("Latin", "Cyrillic", "Greek")
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")
+ALPHABETS = (CYRILLIC, GREEK, ARMENIAN, CHEROKEE)
 
 
 def _compat() -> dict[int, str | None]:
-    """Full- and half-width forms, Latin ligatures, Roman numerals, odd blanks and ignorable characters."""
-    out: dict[int, str | None] = dict.fromkeys(IGNORABLE)
-    for cp in [*range(0xFF01, 0xFFEF), *range(0xFB00, 0xFB07), *range(0x2160, 0x2180), 0x00B5, 0x017F]:
-        c = chr(cp)
-        if unicodedata.decomposition(c).startswith("<"):
-            out[cp] = unicodedata.normalize("NFKC", c)
+    """Compatibility characters that look the same, odd blanks and ignorable characters."""
+    out: dict[int, str | None] = {}
+    for cp in LOOKED_AT:
+        kind = unicodedata.decomposition(chr(cp)).split(" ")[0]
+        if kind in SAME_LOOK or kind == "<compat>" and unicodedata.category(chr(cp)) in ("Ll", "Lu", "Lt", "Lo", "Nl"):
+            out[cp] = unicodedata.normalize("NFKC", chr(cp))
+    out |= dict.fromkeys(IGNORABLE)
     for cp in [0x00A0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x0085, 0x0B, 0x0C]:
         out[cp] = " "
     return out
 
 
 COMPAT = _compat()
-COMPAT_BUT_JOINER = {k: v for k, v in COMPAT.items() if k != 0x200D}
-PROTOTYPE = {ord(v): k for alphabet in (CYRILLIC, GREEK) for k, v in alphabet.items()}
+SHAPERS = {0x200D, 0xFE0E, 0xFE0F}
+COMPAT_BUT_SHAPERS = {k: v for k, v in COMPAT.items() if k not in SHAPERS}
+PROTOTYPE = {ord(v): k for alphabet in ALPHABETS for k, v in alphabet.items()}
 BLANKS = re.compile(r"[ \t\r\n]+")
 WORD = re.compile(r"[^\W\d_]+")
-#: A joiner between two pictographs shapes them, so it can be seen.
+#: A joiner between two pictographs shapes them, and so does a selector after one, so both can be seen.
 PICTURE = "\\U0001F000-\\U0001FAFF\\u2600-\\u27BF\\uFE0F"
-PICTURE_JOINER = re.compile(f"(?<![{PICTURE}])\\u200D|\\u200D(?![{PICTURE}])")
-AMBIGUOUS = "".join(sorted({*CYRILLIC, *GREEK}))
+LOST_SHAPER = re.compile(f"(?<![{PICTURE}])\\u200D|\\u200D(?![{PICTURE}])|(?<![{PICTURE}])[\\uFE0E\\uFE0F]")
+AMBIGUOUS = "".join(sorted({c for alphabet in ALPHABETS for c in alphabet}))
 AMBIGUOUS_WORD = re.compile(rf"(?<![^\W\d_])[{AMBIGUOUS}]+(?![^\W\d_])")
 CLEAR = {
     "Latin": re.compile(rf"[^\W\d_{AMBIGUOUS}\u0370-\u1CFF\u1F00-\u1FFF\u2C80-\U0010FFFF]"),
     "Cyrillic": re.compile(r"[\u0400-\u052F]"),
     "Greek": re.compile(r"[\u0370-\u03FF\u1F00-\u1FFF]"),
+    "Armenian": re.compile(r"[\u0531-\u058F]"),
+    "Cherokee": re.compile(r"[\u13A0-\u13FF\uAB70-\uABBF]"),
 }
 
-OTHER = re.compile(r"[\u0370-\u03FF\u0400-\u052F\u1F00-\u1FFF]")
+OTHER = re.compile(r"[\u0370-\u03FF\u0400-\u052F\u0531-\u058F\u13A0-\u13FF\u1F00-\u1FFF\uAB70-\uABBF]")
 
 #: The alphabet of the bigram counts. Index 0 is everything else, so the table has a fixed size whatever the corpus.
-ALPHABET = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x180), *range(0x386, 0x3CF), *range(0x400, 0x460)] if chr(c).isalpha()]
-ALPHABET += sorted({*CYRILLIC.values(), *GREEK.values()} - {*ALPHABET})
+ALPHABET = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x180), *range(0x386, 0x3CF), *range(0x400, 0x460), *range(0x531, 0x588), *range(0x13A0, 0x13F6)] if chr(c).isalpha()]
+ALPHABET += sorted({c for alphabet in ALPHABETS for c in alphabet.values()} - {*ALPHABET})
 INDEX = {c: i + 1 for i, c in enumerate(ALPHABET)}
 SIZE = len(ALPHABET) + 1
 
 
 def script_of(c: str) -> int:
-    """0 Latin (and whatever is neither), 1 Cyrillic, 2 Greek."""
+    """Place of the letter's script in SCRIPTS; 0 for whatever is none of them."""
     o = ord(c)
-    return 1 if 0x400 <= o <= 0x52F else 2 if 0x370 <= o <= 0x3FF or 0x1F00 <= o <= 0x1FFF else 0
+    if 0x400 <= o <= 0x52F:
+        return 1
+    if 0x370 <= o <= 0x3FF or 0x1F00 <= o <= 0x1FFF:
+        return 2
+    return 3 if 0x531 <= o <= 0x58F else 4 if 0x13A0 <= o <= 0x13FF or 0xAB70 <= o <= 0xABBF else 0
+
+
+def skeleton(text: str) -> str:
+    """The skeleton of one text."""
+    if SHAPERS.isdisjoint(map(ord, text)):
+        text = text.translate(COMPAT)
+    else:
+        text = LOST_SHAPER.sub("", text).translate(COMPAT_BUT_SHAPERS)
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(PROTOTYPE))
+
+
+#: Marks of the tables: a code point that goes, and one that needs the whole text.
+GONE, ALONE, BORDER = 0, 0x110000, 0x10FFFF
+
+
+@lru_cache(maxsize=1)
+def joining() -> frozenset[int]:
+    """Code points that may join or swap with the one before them."""
+    second = {int(d.split(" ")[1], 16) for cp in LOOKED_AT if (d := unicodedata.decomposition(chr(cp))) and d[0] != "<" and " " in d}
+    return frozenset(second | {cp for cp in LOOKED_AT if unicodedata.combining(chr(cp))} | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)})
+
+
+@lru_cache(maxsize=1)
+def skeleton_table() -> np.ndarray:
+    """For each code point the one it has in a skeleton, GONE, or ALONE."""
+    out = np.arange(0x110000, dtype=np.uint32)
+    for cp in {*LOOKED_AT, *COMPAT}:
+        made = skeleton(chr(cp))
+        if len(made) != 1 or made != chr(cp):
+            out[cp] = GONE if not made else ord(made) if len(made) == 1 else ALONE
+    out[[*joining(), *SHAPERS]] = ALONE
+    return out
+
+
+def skeletons(texts: list[str]) -> list[str]:
+    """Skeletons of many texts at once."""
+    if not texts:
+        return []
+    whole = chr(BORDER).join(texts)
+    if whole.isascii() or whole.count(chr(BORDER)) >= len(texts):
+        return [t if t.isascii() and "\x0b" not in t and "\x0c" not in t else skeleton(t) for t in texts]
+    cp = skeleton_table()[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    ends = np.flatnonzero(cp == BORDER)
+    alone = np.unique(np.searchsorted(ends, np.flatnonzero(cp == ALONE))).tolist()
+    out = cp[(cp != GONE) & (cp != ALONE)].tobytes().decode("utf-32-le", "surrogatepass").split(chr(BORDER))
+    for i in alone:
+        out[i] = skeleton(texts[i])
+    return out
 
 
 def _lookup() -> np.ndarray:
@@ -126,11 +201,11 @@ class Lattice:
             n[pair // SIZE, pair % SIZE] = k
         side = np.array([-1, *map(script_of, ALPHABET)])
         self.score = np.full((SIZE, SIZE), SWITCH)
-        for s in range(3):
+        for s in range(len(SCRIPTS)):
             own = np.flatnonzero((side == s) | (side == -1))
             part = n[np.ix_(own, own)] + SMOOTH
             self.score[np.ix_(own, own)] = np.log(part / part.sum(axis=1, keepdims=True))
-        self.prior = np.log((np.array([n[side == s].sum() for s in range(3)]) + 1) / (n.sum() + 3))
+        self.prior = np.log((np.array([n[side == s].sum() for s in range(len(SCRIPTS))]) + 1) / (n.sum() + len(SCRIPTS)))
         self.memory: dict[tuple[str, int], str] = {}
 
     def __getstate__(self):
@@ -143,7 +218,7 @@ class Lattice:
             whole = unicodedata.normalize("NFD", c)
             base, accent = whole[0], whole[1:]
         out = [(c, script_of(c))]
-        for alphabet, script in ((CYRILLIC, 1), (GREEK, 2)):
+        for script, alphabet in enumerate(ALPHABETS, 1):
             if base in alphabet and len(other := unicodedata.normalize("NFC", alphabet[base] + accent)) == 1:
                 out.append((other, script))
         return out
@@ -169,22 +244,21 @@ class Lattice:
             self.memory[key] = out
         return out
 
+    def of_skeleton(self, text: str) -> str:
+        """The consistent form of a text that has a skeleton."""
+        prevailing, words = 0, AMBIGUOUS_WORD
+        if not text.isascii() and OTHER.search(text):
+            clear = [len(CLEAR[s].findall(text)) for s in SCRIPTS]
+            prevailing, words = max(range(len(SCRIPTS)), key=lambda s: (clear[s], -s)), WORD
+        return words.sub(lambda m: self.word(m[0], prevailing), text)
+
     def text(self, text: str) -> str:
         """The consistent form of a text; blanks are left as they are but for odd ones, which become plain ones."""
-        if text.isascii():
-            skeleton = text.translate(COMPAT) if "\x0b" in text or "\x0c" in text else text
-            prevailing, words = 0, AMBIGUOUS_WORD
-        else:
-            if "\u200D" in text:
-                text = PICTURE_JOINER.sub("", text).translate(COMPAT_BUT_JOINER)
-            else:
-                text = text.translate(COMPAT)
-            skeleton = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(PROTOTYPE))
-            prevailing, words = 0, AMBIGUOUS_WORD
-            if OTHER.search(skeleton):
-                clear = [len(CLEAR[s].findall(skeleton)) for s in SCRIPTS]
-                prevailing, words = max(range(3), key=lambda s: (clear[s], -s)), WORD
-        return words.sub(lambda m: self.word(m[0], prevailing), skeleton)
+        return self.of_skeleton(skeleton(text))
+
+    def texts(self, texts: list[str]) -> list[str]:
+        """The same for many texts."""
+        return list(map(self.of_skeleton, skeletons(texts)))
 
 
 def collapse(text: str) -> str:
@@ -205,21 +279,18 @@ def normalize(df: DataFrame, column: str, lattice: Lattice, out: str = "normal")
     @F.pandas_udf("string")
     def form(texts):
         own = shared.value
-        return texts.map(lambda t: None if t is None else own.text(t))
+        some = texts.notna()
+        out = texts.astype(object)
+        out[some] = own.texts(texts[some].tolist())
+        return out
 
     return df.withColumn(out, form(F.col(column)))
 
 
-def equal_looking_pairs(df: DataFrame, key: str, column: str, lattice: Lattice, min_runs: int = 0) -> DataFrame:
-    """(key_a, key_b): each pair of rows whose texts look the same but differ in characters, key_a < key_b.
-
-    Rows are hashed to their form and to their own characters (blanks collapsed), so texts aren't shuffled; a key that
-    comes twice counts once. Groups of one form that hold a
-    single spelling are dropped before any join; the pairs are then made between *different spellings* of a form, so
-    exact copies never meet each other. Rows with a null key or text, and texts of blanks alone, are in no pair.
-    """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(lattice)
+def looks(df: DataFrame, key: str, column: str, lattice: Lattice, min_runs: int = 0) -> DataFrame:
+    """(k, form, raw): hashes of each row's consistent form and of its own characters, blanks collapsed; a key that comes
+    twice counts once. Rows with a null key or text, and texts of blanks alone, are left out."""
+    shared = df.sparkSession.sparkContext.broadcast(lattice)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
@@ -229,23 +300,39 @@ def equal_looking_pairs(df: DataFrame, key: str, column: str, lattice: Lattice,
         own = shared.value
         for batch in batches:
             keys, forms, raws = [], [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = collapse(t)
-                form = collapse(own.text(t))
+            texts = batch.column(1).to_pylist()
+            for k, t, form in zip(batch.column(0).to_pylist(), texts, own.texts(texts), strict=True):
+                form = collapse(form)
                 if not form or min_runs and len(RUN.findall(form)) < min_runs:
                     continue
                 keys.append(k)
                 forms.append(blake2b(form.encode("utf-8", "replace"), digest_size=16).digest())
-                raws.append(blake2b(raw.encode("utf-8", "replace"), digest_size=16).digest())
+                raws.append(blake2b(collapse(t).encode("utf-8", "replace"), digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(forms, pa.binary()), pa.array(raws, pa.binary())], ["k", "form", "raw"])
 
-    from lexiflow.llm.common import cut
-
-    src = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(column).alias("t"))
+    src = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(column).cast("string").alias("t"))
     once = src.mapInArrow(hashed, "k long, form binary, raw binary").groupBy("k").agg(F.min(F.struct("form", "raw")).alias("h"))
-    rows = cut(once.select("k", "h.form", "h.raw"))
-    mixed = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
-    rows = rows.join(mixed, "form", "left_semi")
+    return once.select("k", "h.form", "h.raw")
+
+
+def mixed(df: DataFrame, key: str, column: str, lattice: Lattice, min_runs: int = 0) -> DataFrame:
+    """The rows of ``looks`` whose form has several spellings, written once. Forms are compared before any join, where the
+    rows are, so copies of one spelling collapse."""
+    from lexiflow.llm.common import cut, cut_table
+
+    rows = cut_table(looks(df, key, column, lattice, min_runs))
+    several = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    return cut(lookup(rows, several.select("form", "n"), ["form"], "n").select("k", "form", "raw"))
+
+
+def equal_looking_pairs(df: DataFrame, key: str, column: str, lattice: Lattice, min_runs: int = 0) -> DataFrame:
+    """(key_a, key_b): each pair of rows whose texts look the same but differ in characters, key_a < key_b.
+
+    Only hashes are shuffled. Pairs are made between *different spellings* of a form and then expanded to their rows, so
+    exact copies never meet each other and no more rows are made than the result has. For classes in place of pairs see
+    ``equal_looking_classes``.
+    """
+    rows = mixed(df, key, column, lattice, min_runs)
     spellings = rows.groupBy("form", "raw").agg(F.count("*").alias("n"))
     a, b = spellings.select("form", F.col("raw").alias("raw_a")), spellings.select("form", F.col("raw").alias("raw_b"))
     pairs = a.join(b, "form").where("raw_a < raw_b")
@@ -253,3 +340,13 @@ def equal_looking_pairs(df: DataFrame, key: str, column: str, lattice: Lattice,
     right = rows.select("form", F.col("raw").alias("raw_b"), F.col("k").alias("kb"))
     both = pairs.join(left, ["form", "raw_a"]).join(right, ["form", "raw_b"])
     return both.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
+
+
+def equal_looking_classes(df: DataFrame, key: str, column: str, lattice: Lattice, min_runs: int = 0) -> DataFrame:
+    """(k, class_id, rows, spellings, links): each row of a form with several spellings, the smallest key of its class, the
+    rows and spellings of the class, and how many rows look like it but differ in characters. No pair is made."""
+    rows = mixed(df, key, column, lattice, min_runs)
+    spellings = rows.groupBy("form", "raw").agg(F.count("*").alias("n"), F.min("k").alias("first"))
+    whole = spellings.groupBy("form").agg(F.min("first").alias("class_id"), F.sum("n").alias("rows"), F.count("*").alias("spellings"))
+    each = spellings.join(whole, "form").withColumn("links", F.col("rows") - F.col("n"))
+    return lookup(rows, each.drop("first"), ["form", "raw"], "n").select("k", "class_id", "rows", "spellings", "links")

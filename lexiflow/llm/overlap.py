@@ -1,15 +1,20 @@
 """Same or near-same records across splits.
 
-1. Every record is canonicalised (consistent form, case folded, runs of letters or digits joined by one blank) and
-   hashed; equal hashes are one *class*. Everything below works on classes, so copies are compared once.
+1. Every record is canonicalised (folded form, runs of letters or digits joined by one blank) and all its letters are hashed,
+   so case, spacing and signs don't count; equal hashes are one *class*. Everything below works on classes, so copies are
+   compared once.
 2. A class that has members on both sides is an exact overlap: evaluation hashes joined with training hashes.
 3. Near overlaps: fewer than one word in ``one_in`` was changed, added or dropped, i.e. a word edit distance d with
    ``d * one_in < max(words)``. If d is at most k, then of k + 1 disjoint segments of one text at least one stands
-   unchanged in the other, displaced by at most k words. So the training side is cut into that many segments, whose
-   hashes are joined with the hashes of the evaluation side's substrings at the places where such a segment can be.
-   That loses no pair, and nothing is capped. Keys hold length and place up to ``LONG`` words; longer texts, for which
-   that would be quadratic, use the segments' hashes alone.
-4. Candidates are verified exactly by a banded edit distance, then expanded to the members of both classes.
+   unchanged in the other. So the training side is cut into that many segments, whose hashes are joined with the hashes of
+   all the evaluation side's runs of words that have the size of such a segment. That loses no pair, nothing is capped, and
+   the number of keys is linear in the number of words, whatever the length.
+4. A segment that more than ``HOT`` training classes share (boilerplate) would pair all of them with all evaluation classes
+   that hold it. Such keys are refined: if only hot segments are unchanged, the other segments share at most k edits, so one
+   of their halves is unchanged. Hot keys are therefore joined together with the hash of a half of another segment, against
+   the same key together with each run of a half's size. Again no pair is lost.
+5. Candidates are verified exactly by a banded edit distance, which takes two words and their joint spelling for the same,
+   then expanded to the members of both classes.
 """
 
 from __future__ import annotations
@@ -20,15 +25,18 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import MIN_RUNS, RUN, cut, cut_table
-from lexiflow.llm.lookalike import Lattice
+from lexiflow.llm.common import MIN_RUNS, cut, cut_table
+from lexiflow.llm.forms import Folded, digest
 
-LONG = 64
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Training classes that may share a segment before it is refined, and words whose keys are made at once; neither changes a result.
+HOT, PIECE = 1000, 1 << 20
+#: A place is packed into a number: the first and the last start of a run in its text, and the text's words, FAR at most.
+FAR = (1 << 21) - 1
 
 
 def most_edits(n: int, one_in: int) -> int:
@@ -37,77 +45,186 @@ def most_edits(n: int, one_in: int) -> int:
 
 
 def longest_partner(n: int, one_in: int) -> int:
-    """The largest length that a text of n words can be near to."""
-    m = n
-    while m + 1 - n <= most_edits(m + 1, one_in):
-        m += 1
-    return m
+    """The largest length that a text of n words can be near to: the largest m with (m - n) * one_in < m."""
+    return (one_in * n - 1) // (one_in - 1) if n else 0
 
 
-@lru_cache(maxsize=None)
-def segments(length: int, one_in: int) -> tuple[tuple[int, int], ...]:
-    """(start, size) of the segments of a training text: one more than there can be edits against any partner."""
-    count = most_edits(longest_partner(length, one_in), one_in) + 1
+def shortest_partner(n: int, one_in: int) -> int:
+    """The smallest length that a text of n words can be near to."""
+    return -((n * (one_in - 1) + 1) // -one_in) if n else 0
+
+
+def segment_count(length: int, one_in: int) -> int:
+    """One more than there can be edits between a training text and any partner."""
+    return most_edits(longest_partner(length, one_in), one_in) + 1
+
+
+@lru_cache(maxsize=100_000)
+def probe_sizes(n: int, one_in: int) -> tuple[int, ...]:
+    """Sizes of the segments of all training texts that a text of n words can be near to."""
+    out = set()
+    for length in range(shortest_partner(n, one_in), longest_partner(n, one_in) + 1):
+        count = segment_count(length, one_in)
+        out |= {length // count, -(length // -count)}
+    return tuple(sorted(s for s in out if s <= n))
+
+
+def segments(length: int, one_in: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, size) of the segments of a training text."""
+    count = segment_count(length, one_in)
     small, more = divmod(length, count)
-    out, at = [], 0
-    for i in range(count):
-        size = small + (i >= count - more)
-        out.append((at, size))
-        at += size
-    return tuple(out)
-
-
-def _salt(length: int, index: int) -> int:
-    return (length * 1_000_003 + index) * 0xBF58476D1CE4E5B9 + 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
-
-
-@lru_cache(maxsize=4096)
-def _index_template(length: int, one_in: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = segments(length, one_in)
-    salts = [_salt(length, i) if length <= LONG else _salt(LONG + 1, s) for i, (_, s) in enumerate(at)]
-    return np.array([a for a, _ in at]), np.array([a + s for a, s in at]), np.array(salts, dtype=np.uint64)
-
-
-@lru_cache(maxsize=4096)
-def _probe_template(n: int, one_in: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and salt of each substring of a text of n words that can match a segment of a training text."""
-    rows: set[tuple[int, int, int]] = set()
-    low = next(m for m in range(1, n + 1) if longest_partner(m, one_in) >= n)
-    high = longest_partner(n, one_in)
-    for length in range(low, min(high, LONG) + 1):
-        k, shift = most_edits(max(length, n), one_in), n - length
-        if abs(shift) > k:
-            continue
-        for i, (start, size) in enumerate(segments(length, one_in)):
-            first = max(0, start - i, start + shift - (k - i))
-            last = min(n - size, start + i, start + shift + (k - i))
-            rows.update((q, q + size, _salt(length, i)) for q in range(first, last + 1))
-    if high > LONG:
-        sizes = {s for length in {*range(max(low, LONG + 1), high + 1)} for _, s in segments(length, one_in)}
-        rows.update((q, q + s, _salt(LONG + 1, s)) for s in sizes for q in range(n - s + 1))
-    a = np.array(sorted(rows), dtype=object).reshape(-1, 3)
-    return a[:, 0].astype(np.int64), a[:, 1].astype(np.int64), a[:, 2].astype(np.uint64)
-
-
-@lru_cache(maxsize=1_000_000)
-def word_hash(word: str) -> int:
-    return int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-
-
-def keys(words: list[str], probe: bool, one_in: int) -> np.ndarray:
-    """Hashes of the segments (training side) or of the substrings to look for (evaluation side)."""
-    start, end, salt = (_probe_template if probe else _index_template)(len(words), one_in)
+    size = small + (np.arange(count) >= count - more)
+    return np.cumsum(size) - size, size
+
+
+@lru_cache(maxsize=1)
+def _known() -> dict[str, int]:
+    return {}
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each word; a worker remembers those it has met."""
+    known = _known()
+    try:
+        return np.array([known[w] for w in words], dtype=np.uint64)
+    except KeyError:
+        if len(known) > 1_000_000:
+            known.clear()
+        known.update((w, int.from_bytes(blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")) for w in set(words) if w not in known)
+        return np.array([known[w] for w in words], dtype=np.uint64)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+class Hashes:
+    """Hashes of any runs of words of some texts, which lie one after the other."""
+
+    def __init__(self, words: list[str]):
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(len(words), BASE, dtype=np.uint64))
+            self.back = np.cumprod(np.full(len(words) + 1, INVERSE, dtype=np.uint64)) * BASE
+            self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(word_hashes(words) * power, dtype=np.uint64)])
+
+    def of(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return _mix((self.sums[start + size] - self.sums[start]) * self.back[start] ^ size.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
+
+
+def _spans(n: np.ndarray, probe: bool, one_in: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start in it, size) of all segments of texts of n words each, or of all runs to look for."""
+    lengths, which = np.unique(n, return_inverse=True)
+    made = []
+    for length in lengths.tolist():
+        if probe:
+            sizes = probe_sizes(length, one_in)
+            made.append((np.concatenate([np.arange(length - s + 1) for s in sizes]), np.concatenate([np.full(length - s + 1, s) for s in sizes])))
+        else:
+            made.append(segments(length, one_in))
+    count = np.array([len(a) for a, _ in made])
+    first = np.cumsum(count) - count
+    start, size = (np.concatenate([m[i] for m in made]) for i in (0, 1))
+    text = np.repeat(np.arange(len(n)), count[which])
+    at = np.arange(len(text)) - np.repeat(np.cumsum(count[which]) - count[which], count[which]) + np.repeat(first[which], count[which])
+    return text, start[at], size[at]
+
+
+def keys_of(texts: list[list[str]], probe: bool, one_in: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, place): different hashes of the segments (training side) or of the runs to look for (evaluation side) of
+    each text, and where the text has them."""
+    n = np.array([len(t) for t in texts])
+    text, start, size = _spans(n, probe, one_in)
+    key = Hashes([w for t in texts for w in t]).of(start + (np.cumsum(n) - n)[text], size)
+    order = np.lexsort((start, key, text))
+    text, key, start = text[order], key[order], start[order]
+    new = np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))
+    last = np.append(np.flatnonzero(new)[1:], len(new)) - 1
+    place = np.minimum(start[new], FAR) << 42 | np.minimum(start[last], FAR) << 21 | np.minimum(n[text[new]], FAR)
+    return text[new], key[new].view(np.int64), place
+
+
+def may_be_near(a: Column, b: Column, one_in: int) -> Column:
+    """Whether texts with a common run at these places can be near: what is before and behind it differs in length by no more
+    words than there can be edits. A place that is too far to be told is taken for a fitting one."""
+    lo, hi, n = (lambda x: F.shiftright(x, 42)), (lambda x: F.shiftright(x, 21).bitwiseAND(FAR)), (lambda x: x.bitwiseAND(FAR))
+    before = F.greatest(F.lit(0), lo(a) - hi(b), lo(b) - hi(a))
+    behind = F.greatest(F.lit(0), n(a) - hi(a) - n(b) + lo(b), n(b) - hi(b) - n(a) + lo(a))
+    return (n(a) == FAR) | (n(b) == FAR) | ((before + behind) * one_in < F.greatest(n(a), n(b)))
+
+
+def refined_keys(words: list[str], hot: np.ndarray, probe: bool, one_in: int) -> np.ndarray:
+    """Hot keys of a text, each together with the hash of each half of another segment, or of each run of a half's size."""
+    hashes, hot = Hashes(words), hot.view(np.uint64)
+    if probe:
+        sizes = sorted({h for s in probe_sizes(len(words), one_in) for h in (s // 2, s - s // 2) if h})
+        at = np.concatenate([np.arange(len(words) - h + 1) for h in sizes])
+        half = hashes.of(at, np.concatenate([np.full(len(words) - h + 1, h) for h in sizes]))
+        pairs = [(k, half) for k in hot]
+    else:
+        start, size = segments(len(words), one_in)
+        key, low = hashes.of(start, size), size // 2
+        halves = hashes.of(start, low), hashes.of(start + low, size - low)
+        others = np.arange(len(key))
+        pairs = [(k, np.concatenate([h[(others != i) & (low > 0)] for h in halves])) for i, k in enumerate(key) if k in hot]
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(len(words), BASE, dtype=np.uint64))
-        back = np.cumprod(np.full(len(words) + 1, INVERSE, dtype=np.uint64)) * BASE
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(np.array([word_hash(w) for w in words], dtype=np.uint64) * power, dtype=np.uint64)])
-        h = (sums[end] - sums[start]) * back[start] ^ salt
-        h = (h ^ h >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(h).view(np.int64)
+        out = [_mix(h * np.uint64(3) + k) for k, h in pairs]
+    return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
+
+
+def joined(a: list[str], b: list[str]) -> int:
+    """How many neighbours of one text stand joined in the other."""
+    x, y = set(a), set(b)
+    return sum(v + w in y for v, w in zip(a, a[1:], strict=False)) + sum(v + w in x for v, w in zip(b, b[1:], strict=False))
+
+
+def _plain_distance(a: list[str], b: list[str], most: int) -> int:
+    """By the furthest place that d edits reach on each diagonal, so near texts cost little more than their length."""
+    n, m = len(a), len(b)
+    reach: dict[int, int] = {-1: -1}
+    for d in range(most + 1):
+        now = {}
+        for k in range(-d, d + 1):
+            i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2) + 1, reach.get(k + 1, -2)) if d else 0
+            i = min(i, n, m + k)
+            if i < max(0, k):
+                continue
+            while i < n and i - k < m and a[i] == b[i - k]:
+                i += 1
+            now[k] = i
+        if now.get(n - m, -1) >= n:
+            return d
+        reach = now
+    return most + 1
+
+
+def _joining_distance(a: list[str], b: list[str], most: int) -> int:
+    """By all places near the diagonal, which joined words shift without an edit."""
+    far, n, m = most + 1, len(a), len(b)
+    band = most + joined(a, b)
+    before, row = None, {j: min(j, far) for j in range(m + 1)}
+    for i in range(1, n + 1):
+        w, now = a[i - 1], {}
+        for j in range(max(0, i - band), min(m, i + band) + 1):
+            if not j:
+                now[0] = min(i, far)
+                continue
+            v = b[j - 1]
+            d = min(row.get(j - 1, far) + (w != v), row.get(j, far) + 1, now.get(j - 1, far) + 1, far)
+            if before is not None and a[i - 2] + w == v:
+                d = min(d, before.get(j - 1, far))
+            if j > 1 and b[j - 2] + v == w:
+                d = min(d, row.get(j - 2, far))
+            now[j] = d
+        if min(now.values()) > most and min(row.values()) > most:
+            return far
+        before, row = row, now
+    return row.get(m, far)
 
 
 def edit_distance(a: list[str], b: list[str], most: int) -> int:
-    """Word edit distance, or most + 1 if it is larger: a band of 2 * most + 1 diagonals after the common ends are cut."""
+    """Word edit distance, or most + 1 if it is larger. Two words against their joint spelling are no edit."""
     lo, hi = 0, min(len(a), len(b))
     while lo < hi and a[lo] == b[lo]:
         lo += 1
@@ -115,78 +232,86 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int:
     while x > lo and y > lo and a[x - 1] == b[y - 1]:
         x, y = x - 1, y - 1
     a, b = a[lo:x], b[lo:y]
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    if not a or not b:
-        return min(len(a) + len(b), most + 1)
-    far = most + 1
-    row = {j: j for j in range(min(len(b), most) + 1)}
-    for i in range(1, len(a) + 1):
-        now: dict[int, int] = {}
-        for j in range(max(0, i - most), min(len(b), i + most) + 1):
-            if j == 0:
-                now[0] = i
-                continue
-            now[j] = min(row.get(j - 1, far) + (a[i - 1] != b[j - 1]), row.get(j, far) + 1, now.get(j - 1, far) + 1)
-        if min(now.values()) > most:
-            return far
-        row = now
-    return min(row.get(len(b), far), far)
+    x, y = set(a), set(b)
+    different = max(len(x - y), len(y - x))
+    if joined(a, b):
+        return _joining_distance(a, b, most)
+    return most + 1 if max(different, abs(len(a) - len(b))) > most else _plain_distance(a, b, most)
 
 
-def canonical(df: DataFrame, key: str, column: str, side: str, lattice: Lattice, min_runs: int = MIN_RUNS) -> DataFrame:
-    """(k, side, h, words): canonical words of each record, joined by one blank, and their 128-bit hash."""
-    shared = df.sparkSession.sparkContext.broadcast(lattice)
+def canonical(df: DataFrame, key: str, column: str, side: str, min_runs: int = MIN_RUNS) -> DataFrame:
+    """(k, side, c, h, words): canonical words of each record, joined by one blank, the hash of its letters, and half of it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            ks, sides, hs, ws = [], [], [], []
-            for k, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs = RUN.findall(own.text(t).casefold())
-                if len(runs) < max(1, min_runs):
-                    continue
-                w = " ".join(runs)
-                ks.append(k)
-                sides.append(s)
-                ws.append(w)
-                hs.append(blake2b(w.encode("utf-8", "replace"), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(sides, pa.string()), pa.array(hs, pa.binary()), pa.array(ws, pa.string())], ["k", "side", "h", "words"])
+            own = Folded(batch.column(2).to_pylist())
+            raw, start, end = own.letters()
+            words, kept = own.words(), np.flatnonzero(own.runs() >= max(1, min_runs))
+            hs = [digest(raw[s:e]) for s, e in zip(start[kept].tolist(), end[kept].tolist(), strict=True)]
+            cs = np.frombuffer(b"".join(hs), dtype="<i8")[::2]
+            rows = pa.array(own.row[kept])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(cs), pa.array(hs, pa.binary()), pa.array([words[i] for i in kept.tolist()], pa.string())], ["k", "side", "c", "h", "words"])
 
     src = df.where(F.col(key).isNotNull() & F.col(column).isNotNull() & F.col(side).isNotNull())
-    return src.select(F.col(key).cast("long").alias("k"), F.col(side).alias("side"), F.col(column).alias("t")).mapInArrow(work, "k long, side string, h binary, words string")
+    return src.select(F.col(key).cast("long").alias("k"), F.col(side).alias("side"), F.col(column).cast("string").alias("t")).mapInArrow(work, "k long, side string, c long, h binary, words string")
 
 
-def near_classes(classes: DataFrame, one_in: int = 8) -> DataFrame:
-    """(eval_h, train_h, edits): pairs of different classes, one of each side, that are near; ``classes`` is (side, h, words).
+def _emitted(classes: DataFrame, probe: bool, one_in: int) -> DataFrame:
+    """(key, c, place) of all keys of each class."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, texts = batch.column(0), [w.split(" ") for w in batch.column(1).to_pylist()]
+            i = 0
+            while i < len(texts):
+                j, n = i, 0
+                while j < len(texts) and (j == i or n + len(texts[j]) <= PIECE):
+                    n += len(texts[j])
+                    j += 1
+                text, key, place = keys_of(texts[i:j], probe, one_in)
+                yield pa.RecordBatch.from_arrays([pa.array(key), c.take(pa.array(text + i)), pa.array(place)], ["key", "c", "place"])
+                i = j
+
+    return classes.select("c", "words").mapInArrow(emit, "key long, c long, place long")
 
-    Keys go with the first half of a class's hash, which halves what is shuffled; classes that share it are told apart when
-    their words are joined.
-    """
+
+def _refined(classes: DataFrame, keys: DataFrame, hot: DataFrame, probe: bool, one_in: int) -> DataFrame:
+    """(key, c, place) of the refined keys of the classes that have hot ones; a class has fewer hot keys than words."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, out, counts = [], [], []
-            for s, h, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hs.append(int.from_bytes(h[:8], "little", signed=True))
-                out.append(keys(w.split(" "), s != "train", one_in))
-                counts.append(len(out[-1]))
-            if hs:
-                rows = pa.array(np.repeat(np.arange(len(hs)), counts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(hs, pa.int64()).take(rows)], ["key", "c"])
-
-    @F.pandas_udf("long")
-    def half(h):
-        return h.map(lambda x: int.from_bytes(x[:8], "little", signed=True))
-
-    def made(side: DataFrame) -> DataFrame:
-        return side.select("side", "h", "words").mapInArrow(emit, "key long, c long")
+            made = [refined_keys(w.split(" "), np.array(h, dtype=np.int64), probe, one_in) for w, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            if made:
+                text = np.repeat(np.arange(len(made)), [len(k) for k in made])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), batch.column(0).take(pa.array(text)), pa.array(np.full(len(text), FAR))], ["key", "c", "place"])
+
+    own = keys.join(hot, "key", "left_semi").groupBy("c").agg(F.collect_set("key").alias("hot"))
+    return classes.select("c", "words").join(own, "c").select("c", "words", "hot").mapInArrow(emit, "key long, c long, place long")
+
 
+def near_classes(classes: DataFrame, one_in: int = 8, most: int = HOT) -> DataFrame:
+    """(eval_h, train_h, edits): pairs of different classes, one of each side, that are near; ``classes`` is (side, c, h, words).
+
+    Keys go with half of a class's hash, which halves what is shuffled; classes that share it are told apart when their
+    words are joined.
+    """
     train, other = classes.where("side = 'train'"), classes.where("side <> 'train'")
-    found = made(other).withColumnRenamed("c", "eval_c").join(made(train).withColumnRenamed("c", "train_c"), "key")
-    found = found.select("eval_c", "train_c").distinct()
-    found = found.join(train.select(half("h").alias("train_c"), F.col("h").alias("train_h"), F.col("words").alias("b")), "train_c")
-    found = found.join(other.select(half("h").alias("eval_c"), F.col("h").alias("eval_h"), F.col("words").alias("a")), "eval_c")
+    index, probes = cut_table(_emitted(train, False, one_in)), _emitted(other, True, one_in)
+    hot = cut(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key"))
+
+    def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+        both = a.select("key", F.col("c").alias("eval_c"), F.col("place").alias("pa")).join(b.select("key", F.col("c").alias("train_c"), F.col("place").alias("pb")), "key")
+        return both.where(may_be_near(F.col("pa"), F.col("pb"), one_in)).select("eval_c", "train_c")
+
+    if hot.isEmpty():
+        found = pairs(probes, index)
+    else:
+        probes = cut_table(probes)
+        found = pairs(probes, index.join(hot, "key", "left_anti"))
+        found = found.unionByName(pairs(_refined(other, probes, hot, True, one_in), _refined(train, index, hot, False, one_in)))
+    found = found.distinct()
+    found = found.join(train.select(F.col("c").alias("train_c"), F.col("h").alias("train_h"), F.col("words").alias("b")), "train_c")
+    found = found.join(other.select(F.col("c").alias("eval_c"), F.col("h").alias("eval_h"), F.col("words").alias("a")), "eval_c")
     found = found.where("eval_h <> train_h")
 
     @F.pandas_udf("int")
@@ -204,20 +329,21 @@ def near_classes(classes: DataFrame, one_in: int = 8) -> DataFrame:
     return found.select("eval_h", "train_h", edits("a", "b").alias("edits")).where("edits >= 0")
 
 
-def overlaps(df: DataFrame, key: str, column: str, side: str, lattice: Lattice, one_in: int = 8, min_runs: int = MIN_RUNS) -> tuple[DataFrame, DataFrame]:
+def overlaps(df: DataFrame, key: str, column: str, side: str, one_in: int = 8, min_runs: int = MIN_RUNS) -> tuple[DataFrame, DataFrame]:
     """Members and links of the overlaps between rows whose ``side`` is 'train' and those with another value.
 
-    The first result is (k, side, h): each record that has ``min_runs`` runs or more, and its class. The second is
-    (eval_h, train_h, edits): the linked classes, with edits 0 for a class that stands on both sides. A record may have
-    both sides (a path that one descriptor calls train and another one test). Rows with a null key, text or side are
-    left out.
+    The first result is (k, side, h): each record that has ``min_runs`` runs or more, and its class; a key that comes more
+    than once on a side counts once. The second is (eval_h, train_h, edits): the linked classes, with edits 0 for a class
+    that stands on both sides. A record may have both sides (a path that one descriptor calls train and another one test).
+    Rows with a null key, text or side are left out.
     """
-    rows = cut_table(canonical(df, key, column, side, lattice, min_runs))
+    rows = cut_table(canonical(df, key, column, side, min_runs))
     classes = rows.withColumn("side", F.when(F.col("side") == "train", "train").otherwise("eval"))
-    classes = cut_table(classes.groupBy("side", "h").agg(F.min("words").alias("words")))
+    classes = cut_table(classes.groupBy("side", "c", "h").agg(F.min("words").alias("words")))
     train, other = classes.where("side = 'train'").select("h"), classes.where("side <> 'train'").select("h")
     same = other.join(train, "h").select(F.col("h").alias("eval_h"), F.col("h").alias("train_h"), F.lit(0).alias("edits"))
-    return rows.select("k", "side", "h"), cut(same.unionByName(near_classes(classes, one_in)))
+    members = rows.groupBy("k", "side").agg(F.min("h").alias("h"))
+    return members, cut(same.unionByName(near_classes(classes, one_in)))
 
 
 def overlap_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

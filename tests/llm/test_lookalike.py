@@ -14,6 +14,7 @@ def lattice(spark):
 CASES = {
     "Dоеs": "Does", "ＦＵＬＬ ｗidth，": "FULL width,", "reconﬁguration": "reconfiguration", "a­b​c⁠﻿": "abc", "éë": "éë",
     "a b c d": "a b c d", "новaя книгa": "новая книга", "\U0001f469‍\U0001f4bb x‍y": "\U0001f469‍\U0001f4bb xy", "Еще ещё": "Еще ещё",
+    "𝐡𝐞𝐥𝐥𝐨": "hello", "a\ufe0fb\U000e0061": "ab", "❤\ufe0f": "❤\ufe0f", "ՏոսքL": "ՏոսքL", "ᎢᎬᎢ": "ᎢᎬᎢ", "m² ½ ① ™": "m² ½ ① ™",
     "Βοοk": "Book", "plain “text” … – №5": "plain “text” … – №5", "": "", "​": "",
 }
 
@@ -46,6 +47,19 @@ def test_pairs(spark, lattice):
     assert L.equal_looking_pairs(df.limit(0), "id", "form", lattice).count() == 0
 
 
+def test_batches(lattice):
+    texts = [*CASES, "plain", "\U0010ffff x", "e\u0301", "x\x0by"]
+    assert lattice.texts(texts) == [lattice.text(t) for t in texts]
+    assert lattice.texts([]) == []
+
+
+def test_classes(spark, lattice):
+    rows = [(5, "the bоok"), (2, "the book"), (3, "the  book"), (6, "the bo\u200bok"), (9, "other"), (10, "other"), (None, "the book"), (4, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {tuple(r) for r in L.equal_looking_classes(df, "id", "text", lattice).collect()}
+    assert got == {(2, 2, 4, 3, 2), (3, 2, 4, 3, 2), (5, 2, 4, 3, 3), (6, 2, 4, 3, 3)}
+
+
 def test_normalize(spark, lattice):
     df = spark.createDataFrame([(1, "Dоes", "old"), (2, None, "old")], "id long, text string, normal string")
     assert [r["normal"] for r in L.normalize(df, "text", lattice).orderBy("id").collect()] == ["Does", None]

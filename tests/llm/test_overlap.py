@@ -1,9 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
 from lexiflow.llm import overlap as O
-from lexiflow.llm.lookalike import Lattice
 
 
 def plain_distance(a, b):
@@ -38,6 +38,45 @@ def test_edit_distance():
             assert O.edit_distance(a, b, most) == min(plain_distance(a, b), most + 1)
 
 
+def keys(words, probe):
+    _, key, place = O.keys_of([words], probe, 8)
+    return dict(zip(key.tolist(), place.tolist(), strict=True))
+
+
+def fits(p, q):
+    (a, b, n), (c, d, m) = (((x >> 42), x >> 21 & O.FAR, x & O.FAR) for x in (p, q))
+    return (max(0, a - d, c - b) + max(0, n - b - m + c, m - d - n + a)) * 8 < max(n, m)
+
+
+def test_partners():
+    for n in range(1, 300):
+        near = [m for m in range(1, 400) if abs(m - n) <= O.most_edits(max(m, n), 8)]
+        assert (O.shortest_partner(n, 8), O.longest_partner(n, 8)) == (min(near), max(near))
+
+
+def test_joined_words_are_no_edit():
+    assert O.edit_distance("we can t go".split(), "we cant go".split(), 2) == 0
+    assert O.edit_distance("we cant go at all".split(), "we can t go all".split(), 2) == 1
+    assert O.joined("a b can t".split(), "a b cant".split()) and not O.joined("a b c".split(), "a b d".split())
+
+
+def test_both_ways_to_the_distance():
+    rng = random.Random(5)
+    for _ in range(300):
+        a = [rng.choice("abcd") for _ in range(rng.randint(1, 30))]
+        b = edited(a, rng.randint(0, 6), rng)
+        for most in (1, 3, 30):
+            want = min(plain_distance(a, b), most + 1)
+            assert O._plain_distance(a, b, most) == O._joining_distance(a, b, most) == want
+    long = [f"w{i % 5003}" for i in range(100_000)]
+    assert O.edit_distance(long, [*long[:500], "x", *long[501:70_000], *long[70_003:]], 12_499) == 4
+
+
+def test_a_text_of_many_words_takes_keys_in_proportion():
+    words = [f"w{i % 5003}" for i in range(100_000)]
+    assert len(O.keys_of([words], True, 8)[1]) <= 4 * len(words) and len(O.keys_of([words, ["a"] * 9], False, 8)[1]) <= len(words) / 5
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 8, 9, 16, 17, 24, 40, 63, 64, 65, 70, 130])
 def test_no_near_pair_is_lost(n):
     """Whatever is edited, a key of the training side is among those of the evaluation side."""
@@ -46,8 +85,12 @@ def test_no_near_pair_is_lost(n):
         a = [rng.choice("abcdefgh") for _ in range(n)]
         b = edited(a, rng.randint(0, O.most_edits(n, 8) + 1), rng)
         if plain_distance(a, b) <= O.most_edits(max(len(a), len(b)), 8):
-            assert set(O.keys(a, False, 8)) & set(O.keys(b, True, 8))
-            assert set(O.keys(b, False, 8)) & set(O.keys(a, True, 8))
+            for x, y in ((a, b), (b, a)):
+                index, probe = keys(x, False), keys(y, True)
+                assert set(index) & set(probe)
+                hot = np.array(sorted(set(index) & set(probe)), dtype=np.int64)
+                assert set(O.refined_keys(x, hot, False, 8)) & set(O.refined_keys(y, hot, True, 8)) or x == y
+                assert any(fits(index[k], probe[k]) for k in set(index) & set(probe))
 
 
 def test_like_brute_force(spark):
@@ -61,7 +104,7 @@ def test_like_brute_force(spark):
         rows.append((k, text.upper() if rng.random() < 0.5 else text, rng.choice(["train", "train", "valid", "test"])))
     rows += [(500, None, "train"), (501, "", "test"), (None, rows[0][1], "train"), (502, "a b", "test"), (503, "a b", "train"), (504, rows[0][1], None), (505, "zz " * 5000, "train"), (506, "zz " * 4990 + "y", "test"), rows[1]]
     df = spark.createDataFrame(rows, "id long, text string, split string").selectExpr("*", "'x' AS h", "0 AS words", "1 AS key").repartition(4)
-    members, links = O.overlaps(df, "id", "text", "split", Lattice([]))
+    members, links = O.overlaps(df, "id", "text", "split")
     clean = {(k, s, tuple(t.lower().replace(",", "").split())) for k, t, s in rows if k is not None and t and s}
     want = set()
     for ka, sa, a in clean:
@@ -74,7 +117,11 @@ def test_like_brute_force(spark):
     train = {k for k, s, _ in clean if s == "train"}
     for k, n in per.items():
         assert n == sum(1 for p in want if k in p and ({*p} - {k}) & train)
-    empty = O.overlaps(df.limit(0), "id", "text", "split", Lattice([]))
+    classes = df.where("split is not null and id is not null")
+    classes = O.canonical(classes, "id", "text", "split").selectExpr("if(side = 'train', 'train', 'eval') AS side", "c", "h", "words").distinct()
+    near = {tuple(r) for r in O.near_classes(classes).collect()}
+    assert near == {tuple(r) for r in O.near_classes(classes, most=1).collect()} and len(near) > 20
+    empty = O.overlaps(df.limit(0), "id", "text", "split")
     assert O.overlap_pairs(*empty).count() == 0
 
 
