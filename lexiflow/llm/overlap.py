@@ -217,7 +217,7 @@ def _joining_distance(a: list[str], b: list[str], most: int) -> int:
             if j > 1 and b[j - 2] + v == w:
                 d = min(d, row.get(j - 2, far))
             now[j] = d
-        if min(now.values(), default=far) > most and min(row.values()) > most:
+        if min(now.values(), default=far) > most and min(row.values(), default=far) > most:
             return far
         before, row = row, now
     return row.get(m, far)
