@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from enum import IntEnum
-from functools import lru_cache, reduce
-from importlib import resources
+from functools import reduce
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +28,14 @@ BRACKETS = "( ) [ ] { } < >".split()
 QUOTES = "\" ' ` « » ‘ ’ ‚ ‛ “ ” „ ‟ ‹ › ❮ ❯ '' ``".split()
 LEFT_PUNCT = "( [ { < \" ' « ‘ ‚ ‛ “ „ ‟ ‹ ❮ ``".split()
 RIGHT_PUNCT = ") ] } > \" ' » ’ ” › ❯ ''".split()
-# Generic top-level domains, and how the country domains differ from the country codes of ISO 3166.
-GENERIC_DOMAINS = "com org edu gov net mil aero asia biz cat coop info int jobs mobi museum name pro tel travel xxx".split()
-OTHER_COUNTRY_DOMAINS, NO_COUNTRY_DOMAINS = "ac an cs dd eu su tp uk".split(), "bl bq cw mf sx um".split()
+# The top-level domains that end a web address.
+TOP_LEVEL_DOMAINS = (
+    "com org edu gov net mil aero asia biz cat coop info int jobs mobi museum name pro tel travel xxx ac ad ae af ag ai al am an ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj "
+    "bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cs cu cv cx cy cz dd de dj dk dm do dz ec ee eg eh er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm "
+    "gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm "
+    "mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so "
+    "sr ss st su sv sy sz tc td tf tg th tj tk tl tm tn to tp tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
+).split(" ")
 
 DIGIT = rf"[\p{{Nd}}{ODD_DIGITS}]"
 UPPER, LOWER, TITLE = r"\p{IsUppercase}", r"\p{IsLowercase}", r"\p{Lt}"
@@ -73,25 +77,10 @@ def like_num(s: Column) -> Column:
     return bare.rlike(rf"\A(?:{DIGIT}+|{DIGIT}+/{DIGIT}+)\z")
 
 
-def _country_codes() -> set[str]:
-    """The two-letter codes of ISO 3166, from the time-zone data that comes with pandas, or else from the Java runtime."""
-    try:
-        lines = (resources.files("tzdata") / "zoneinfo" / "iso3166.tab").read_text(encoding="utf-8").splitlines()
-        return {x.split("\t")[0].lower() for x in lines if x and not x.startswith("#")}
-    except (ModuleNotFoundError, OSError):
-        return {str(c).lower() for c in SparkSession.active()._jvm.java.util.Locale.getISOCountries()}
-
-
-@lru_cache(maxsize=1)
-def top_level_domains() -> tuple[str, ...]:
-    """Generic domains, and a country domain for each country code."""
-    return tuple([*GENERIC_DOMAINS, *sorted((_country_codes() | {*OTHER_COUNTRY_DOMAINS}) - {*NO_COUNTRY_DOMAINS})])
-
-
 def like_url(s: Column, domains: Iterable[str] | None = None) -> Column:
     """A scheme or ``www.`` in front, or a known top-level domain (or a slash) at the end. False for the empty string."""
     end = F.substring_index(F.substring_index(s, ".", -1), ":", 1)
-    known = end.isin(list(top_level_domains() if domains is None else domains))
+    known = end.isin(list(TOP_LEVEL_DOMAINS if domains is None else domains))
     return (
         F.when(s.startswith("http://") | s.startswith("https://") | (s.startswith("www.") & (F.length(s) >= 5)), True)
         .when(s.startswith(".") | s.endswith(".") | s.contains("@") | ~s.contains("."), False)
@@ -185,20 +174,40 @@ def flag_accessors(flags: Column) -> dict[str, Column]:
     return {a.name.lower(): check_flag(flags, a) for a in FLAGS}
 
 
-#: What ``register_sql`` makes, as SQL over the argument ``s``.
-SQL_BODIES = {name: f"s RLIKE r'{p}'" for name, p in PATTERNS.items()} | {
-    "word_lower": "lower(s)",
-    "word_prefix": "substring(s, 1, 1)",
-    "word_suffix": "right(s, 3)",
-    "like_num": rf"regexp_replace(regexp_replace(s, r'\A[+\-±~]', ''), '[,.]', '') RLIKE r'\A(?:{DIGIT}+|{DIGIT}+/{DIGIT}+)\z'",
-    "is_lower": rf"s RLIKE r'{LOWER}' AND NOT s RLIKE r'[{UPPER}{TITLE}]'",
-    "is_upper": rf"s RLIKE r'{UPPER}' AND NOT s RLIKE r'[{LOWER}{TITLE}]'",
-}
+def _in(words: Iterable[str]) -> str:
+    return "s IN (" + ", ".join("r'" + w + "'" if "'" not in w else '"' + w.replace('"', '\\"') + '"' for w in words) + ")"
+
+
+_CASED, _END = f"{UPPER}{LOWER}{TITLE}", "substring_index(substring_index(s, '.', -1), ':', 1)"
+_SHAPED = rf"regexp_replace(regexp_replace(regexp_replace(s, r'[\p{{L}}&&\p{{IsUppercase}}]', 'X'), r'[\p{{L}}&&[^X]]', 'x'), r'{DIGIT}', 'd')"
+#: What ``register_sql`` makes: names, result types, and SQL over the argument ``s``.
+SQL_BODIES = {name: ("BOOLEAN", f"s RLIKE r'{p}'") for name, p in PATTERNS.items()} | {name: ("BOOLEAN", _in(words)) for name, words in MEMBERS.items()} | {
+    "word_lower": ("STRING", "lower(s)"),
+    "word_norm": ("STRING", "lower(s)"),
+    "word_prefix": ("STRING", "substring(s, 1, 1)"),
+    "word_suffix": ("STRING", "right(s, 3)"),
+    "word_shape": ("STRING", rf"CASE WHEN length(s) >= 100 THEN 'LONG' ELSE regexp_replace({_SHAPED}, r'(?s)((.)\2{{3}})\2+', '$1') END"),
+    "like_num": ("BOOLEAN", rf"regexp_replace(regexp_replace(s, r'\A[+\-±~]', ''), '[,.]', '') RLIKE r'\A(?:{DIGIT}+|{DIGIT}+/{DIGIT}+)\z'"),
+    "like_url": ("BOOLEAN", f"""CASE WHEN startswith(s, 'http://') OR startswith(s, 'https://') OR (startswith(s, 'www.') AND length(s) >= 5) THEN true
+        WHEN startswith(s, '.') OR endswith(s, '.') OR contains(s, '@') OR NOT contains(s, '.') THEN false
+        WHEN s IS NOT NULL THEN endswith({_END}, '/') OR {_in(TOP_LEVEL_DOMAINS).replace('s IN', f'{_END} IN', 1)} END"""),
+    "is_lower": ("BOOLEAN", f"s RLIKE r'{LOWER}' AND NOT s RLIKE r'[{UPPER}{TITLE}]'"),
+    "is_upper": ("BOOLEAN", f"s RLIKE r'{UPPER}' AND NOT s RLIKE r'[{LOWER}{TITLE}]'"),
+    "is_title": ("BOOLEAN", f"s RLIKE r'[{UPPER}{TITLE}]' AND NOT s RLIKE r'[{_CASED}][{UPPER}{TITLE}]' AND NOT s RLIKE r'(?<![{_CASED}]){LOWER}'"),
+    "is_oov": ("BOOLEAN", "CASE WHEN s IS NOT NULL THEN true END"),
+}
+
+
+def sql_bodies(stops: Iterable[str] = ()) -> dict[str, tuple[str, str]]:
+    """All SQL functions, with ``is_stop`` for the given words and the flag word made of the others."""
+    bodies = SQL_BODIES | {"is_stop": ("BOOLEAN", _in(stops).replace("s IN", "lower(s) IN", 1) if (stops := list(stops)) else "CASE WHEN s IS NOT NULL THEN false END")}
+    bits = " + ".join(f"CASE WHEN {bodies[a.name.lower()][1]} THEN {1 << int(a)} ELSE 0 END" for a in FLAGS)
+    return bodies | {"flag_word": ("BIGINT", f"CASE WHEN s IS NOT NULL THEN CAST({bits} AS BIGINT) END")}
 
 
-def register_sql(spark: SparkSession) -> list[str]:
+def register_sql(spark: SparkSession, stops: Iterable[str] = ()) -> list[str]:
     """Temporary SQL functions with the attributes' names; their bodies are inlined into the plan."""
-    for name, body in SQL_BODIES.items():
-        kind = "STRING" if name.startswith("word_") else "BOOLEAN"
+    bodies = sql_bodies(stops)
+    for name, (kind, body) in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(s STRING) RETURNS {kind} RETURN {body}")
-    return list(SQL_BODIES)
+    return list(bodies)

@@ -22,6 +22,7 @@ UNITS = (
 ELLIPSES = [r"\.\.+", "…"]
 
 
+# The patterns of the three lists below.
 @lru_cache(maxsize=1)
 def default_prefixes() -> tuple[str, ...]:
     return ("§", "%", "=", "—", "–", r"\+(?![0-9])", *PUNCTUATION, *ELLIPSES, *QUOTES, *CURRENCY, f"[{symbol_class()}]")

@@ -29,6 +29,15 @@ def segments(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(FAST_SEGMENT), F.lit(1))
 
 
+#: The tokens alone: a word, or what white space is left after the character that the word before it swallows.
+TOKEN = f"[!-~[^{SPACE}]]+|(?<=[{SPACE}])[{SPACE}]+|\\A[{SPACE}]+"
+
+
+def segment_texts(text: Column) -> Column:
+    """The texts of the tokens in order, one array; none for an empty text, null for null."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
 def segment_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, position, text, space_after): words and white-space tokens without any splitting of words.
 

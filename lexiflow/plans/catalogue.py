@@ -15,11 +15,13 @@ from lexiflow.functions.chars import ODD_DIGITS, SPACE
 from lexiflow.operators import docs as D
 from lexiflow.operators import lexeme, lm, tokenize, vocab
 from lexiflow.operators.rules import DEFAULT, TokenizerRules, norm_of
-from lexiflow.operators.segment import SEGMENT, segment_rows
-from lexiflow.plans.lineage import cut_table
+from lexiflow.operators.segment import SEGMENT, segment_rows, segment_texts
+from lexiflow.plans.lineage import cut_table, scratch
 from lexiflow.plans.oracle import token_ctes
-from lexiflow.sources.tables import read_table, spread
-from lexiflow.sources.textsplits import SPLITS, split_of_table
+from lexiflow.sources import textsplits
+from lexiflow.sources.tables import read_table
+from lexiflow.sources.textsplits import SPLITS, TextDatasetMeta, split_of_table
+from lexiflow.streaming.tokens import windowed_counts
 
 #: Stop words of the filter and flag queries; any list can be given.
 STOPS = ["the", "a", "of", "and", "in", "to", "one", "this", "that", "le", "la", "die", "das", "el", "o"]
@@ -34,7 +36,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +152,8 @@ def oov_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exceptions_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored tokens that are an exception, as the exception's pieces; the first rule sent for a piece counts."""
     rules = _table(spark, sf_dir, "token_exceptions").groupBy("surface", "piece_no").agg(F.min_by("orth", "exc_id").alias("orth"))
-    tokens = _table(spark, sf_dir, "tokens").dropDuplicates(["td_id", "token_position"])
-    return tokens.join(rules, F.col("text") == F.col("surface")).groupBy("surface", "piece_no", "orth").agg(F.countDistinct("td_id", "token_position").alias("n"))
+    tokens = _table(spark, sf_dir, "tokens").join(rules, F.col("text") == F.col("surface"))
+    return tokens.groupBy("surface", "piece_no", "orth").agg(F.countDistinct("td_id", "token_position").alias("n"))
 
 
 def exception_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,16 +199,48 @@ def split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("split", "data_path").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("characters"))
 
 
+def read_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of each split written to text files, and the lines read from them, counted."""
+    docs, metas, folder = _table(spark, sf_dir, "text_docs").where("text is not null"), _table(spark, sf_dir, "dataset_metas"), scratch(spark)
+    for s in SPLITS:
+        line = F.regexp_replace(F.regexp_replace("text", r"[\r\n]+\z", ""), r"[\r\n]", " ")
+        split_of_table(docs, metas, s).select(line.alias("value")).write.text(f"{folder}/{s}")
+    meta = TextDatasetMeta(*(f"{folder}/{s}" for s in SPLITS))
+    parts = [rows.select(F.lit(s).alias("split"), F.regexp_replace("text", r"\n\z", "").alias("line")) for s, rows in textsplits.read_dataset(spark, meta).items()]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.groupBy("split", "line").agg(F.count("*").alias("n"))
+
+
+def encoded_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary made of the training records alone, grown by the valid and then the test records, and all of them encoded."""
+    docs, metas = _table(spark, sf_dir, "text_docs").where("text is not null"), _table(spark, sf_dir, "dataset_metas")
+    splits = {s: split_of_table(docs, metas, s).groupBy("td_id").agg(F.min("text").alias("text")) for s in SPLITS}
+    found = textsplits.encoded_splits(splits, vocab.SentenceEncoder(lambda df: segment_rows(df, "td_id", "text")), "td_id")
+    parts = [df.select(F.lit(s).alias("split"), "td_id", "position", "token_id") for s, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of each document that has some, as one array of strings."""
+    return _documents(spark, sf_dir).where("text <> ''").select("doc_id", segment_texts(F.col("text")).alias("tokens"))
+
+
 def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.build_vocab(_segments(spark, sf_dir), ["doc_id", "position"])
+    return vocab.build_vocab_of_arrays(_token_arrays(spark, sf_dir), "doc_id")
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.encode(_segments(spark, sf_dir), _vocab(spark, sf_dir))
+    docs = _token_arrays(spark, sf_dir)
+    return vocab.encode_arrays(docs, _vocab(spark, sf_dir))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.token_stream(_encoded(spark, sf_dir), ["doc_id"])
+    return lm.stream_of_documents(_encoded(spark, sf_dir), ["doc_id"])
+
+
+def _id_rows(encoded: DataFrame) -> DataFrame:
+    rows = encoded.select("doc_id", F.posexplode("ids").alias("position", "token_id"))
+    return rows.withColumn("position", F.col("position").cast("long"))
 
 
 def vocab_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,18 +252,18 @@ def vocab_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vocabulary of the English documents, grown by all documents."""
     english = _documents(spark, sf_dir).where("lang = 'en'")
     known = vocab.build_vocab(segment_rows(english, "doc_id", "text"), ["doc_id", "position"])
-    return vocab.extend_vocab(known, _segments(spark, sf_dir), ["doc_id", "position"])
+    return vocab.extend_vocab(known, _segments(spark, sf_dir), ["doc_id", "position"]).select("token", "id")
 
 
 def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E5: the id of every token of every document."""
-    return _encoded(spark, sf_dir).select("doc_id", "position", "token_id")
+    return _id_rows(_encoded(spark, sf_dir))
 
 
 def encode_tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E5 with the rule-based tokens; the tokens are written once, as the vocabulary is made of them too."""
-    tokens = cut_table(tokenize_default(spark, sf_dir).select("doc_id", "position", "text"))
-    return vocab.encode(tokens, vocab.build_vocab(tokens, ["doc_id", "position"])).select("doc_id", "position", "token_id")
+    docs = cut_table(tokenize.tokenize_documents(_documents(spark, sf_dir)).select("doc_id", F.col("tokens.text").alias("tokens")))
+    return _id_rows(vocab.encode_arrays(docs, vocab.build_vocab_of_arrays(docs, "doc_id")))
 
 
 def encode_saved_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +280,7 @@ def decode_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The encoded data set: all documents one after the other."""
-    return _stream(spark, sf_dir)
+    return lm.stream_rows(_stream(spark, sf_dir))
 
 
 def lm_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,6 +298,33 @@ def lm_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.batches(_stream(spark, sf_dir), BPTT_LEN, BATCH_SIZE)
 
 
+def lm_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1, B2: the matrices that the iterator gives, each as one string, row after row."""
+    made = lm.matrices(_stream(spark, sf_dir), BPTT_LEN, BATCH_SIZE)
+    return made.select("batch_id", *(F.array_join(F.flatten(c), " ").alias(c) for c in ("input", "target")))
+
+
+def windowed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts by time window of the streaming operators, over a table."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("collected_at").cast("timestamp").alias("at"), "text")
+    counts = windowed_counts(docs, "at", window="1 day")
+    return counts.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "token", "n")
+
+
+def doc_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes set on documents, set anew, and read; one that isn't set is null."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.create_map(F.lit("source"), F.array("source"), F.lit("state"), F.array(F.lit("new"))).alias("a"))
+    a = D.set_attribute(D.set_attribute(F.col("a"), "state", ["read", "kept"]), "topic", ["text"])
+    read = lambda n: F.array_join(D.attribute(a, n), ",")
+    return docs.select("doc_id", F.get(D.attribute(a, "source"), F.lit(0)).alias("source"), read("state").alias("state"), read("topic").alias("topic"), read("other").alias("other"))
+
+
+def sql_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 to L21 by their SQL functions: flag word and shape of every distinct token."""
+    L.register_sql(spark, STOPS)
+    return _words(spark, sf_dir).select("word", F.expr("flag_word(word)").alias("flags"), F.expr("word_shape(word)").alias("shape"))
+
+
 def lexeme_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the derived strings of every entry of the saved vocabulary."""
     saved = _table(spark, sf_dir, "vocab")
@@ -279,8 +340,8 @@ def embedding_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     tokenize_default, split_tokens_by_lang, segment_tokens, whitespace_tokens, doc_text_roundtrip, doc_lengths, token_at, span_slice, token_forms, lex_flags, lex_flag_names, lex_shape, lex_forms,
-    like_url_email_num, stopword_filter, oov_filter, exceptions_expand, exception_table, tokenize_keep, tokenize_arrays, tokenize_no_rules, tokenize_custom_rules, split_scan, vocab_first_seen, vocab_extended,
-    encode_documents, encode_tokenized, encode_saved_vocab, decode_stream, stream_positions, lm_sizes, lm_examples, lm_batches, lexeme_ids, embedding_norm,
+    like_url_email_num, stopword_filter, oov_filter, exceptions_expand, exception_table, tokenize_keep, tokenize_arrays, tokenize_no_rules, tokenize_custom_rules, split_scan, read_split, encoded_splits, vocab_first_seen, vocab_extended,
+    encode_documents, encode_tokenized, encode_saved_vocab, decode_stream, stream_positions, lm_sizes, lm_examples, lm_batches, lm_matrices, windowed_tokens, doc_attributes, sql_attributes, lexeme_ids, embedding_norm,
 )
 
 
@@ -310,7 +371,7 @@ def oracle_sql() -> dict[str, str]:
     tld = "split_part(regexp_extract(word, '([^.]*)$', 1), ':', 1)"
     url = f"""CASE WHEN starts_with(word, 'http://') OR starts_with(word, 'https://') OR (starts_with(word, 'www.') AND length(word) >= 5) THEN true
         WHEN starts_with(word, '.') OR ends_with(word, '.') OR contains(word, '@') OR NOT contains(word, '.') THEN false
-        ELSE ends_with({tld}, '/') OR {tld} IN ({_quoted(list(L.top_level_domains()))}) END"""
+        ELSE ends_with({tld}, '/') OR {tld} IN ({_quoted(L.TOP_LEVEL_DOMAINS)}) END"""
     bare = "replace(replace(regexp_replace(word, '^[+\\-±~]', ''), ',', ''), '.', '')"
     num = f"regexp_matches({bare}, '^(?:{digit}+|{digit}+/{digit}+)$')"
     email = is_(L.PATTERNS["like_email"].replace(r"\A", "^"))
@@ -334,6 +395,18 @@ def oracle_sql() -> dict[str, str]:
     stream = f""", voc AS ({voc()}), stream AS (SELECT row_number() OVER (ORDER BY doc_id, position) - 1 AS pos, id AS token_id FROM seg JOIN voc ON seg.text = voc.token)"""
     pairs = f""", pairs AS (SELECT pos // {BPTT_LEN} AS example_id, pos % {BPTT_LEN} AS t, token_id AS input_id, lead(token_id) OVER (ORDER BY pos) AS target_id FROM stream),
     sizes AS (SELECT count(*) AS n, greatest(count(*) - 1, 0) // {BPTT_LEN} AS e, greatest(count(*) - 1, 0) // {BPTT_LEN} // {BATCH_SIZE} AS b FROM stream)"""
+    known = "row_number() OVER (ORDER BY min(struct_pack(d := td_id, p := position))) - 1"
+    encoded = f"""
+    WITH docs AS (SELECT split, td_id AS doc_id, '' AS lang, min(text) AS text FROM (SELECT s.split, t.td_id, t.text FROM text_docs t JOIN (
+            {' UNION '.join(f"SELECT '{s}' AS split, {s}_path AS data_path FROM dataset_metas WHERE {s}_path IS NOT NULL" for s in SPLITS)}) s USING (data_path) WHERE t.text IS NOT NULL) GROUP BY split, td_id),
+    parts AS (SELECT split, doc_id, regexp_extract_all(text, '{SEGMENT}', 1) AS p FROM docs),
+    rows AS (SELECT split, doc_id AS td_id, unnest(p) AS part, unnest(range(len(p))) AS position FROM parts),
+    seg AS (SELECT split, td_id, position, CASE WHEN {blank} OR NOT {closed} THEN part ELSE left(part, length(part) - 1) END AS text FROM rows),
+    a AS (SELECT text, {known} AS id FROM seg WHERE split = 'train' GROUP BY text),
+    b AS (SELECT text, {known} + (SELECT count(*) FROM a) AS id FROM seg WHERE split = 'valid' AND text NOT IN (SELECT text FROM a) GROUP BY text),
+    ab AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+    c AS (SELECT text, {known} + (SELECT count(*) FROM ab) AS id FROM seg WHERE split = 'test' AND text NOT IN (SELECT text FROM ab) GROUP BY text)
+    SELECT split, td_id, position, id AS token_id FROM seg JOIN (SELECT * FROM ab UNION ALL SELECT * FROM c) v ON seg.text = v.text"""
     rules = "(SELECT surface, piece_no, arg_min(orth, exc_id) AS orth FROM token_exceptions GROUP BY surface, piece_no)"
     split = " UNION ALL ".join(f"SELECT '{s}' AS split, data_path, text FROM text_docs WHERE data_path IN (SELECT {s}_path FROM dataset_metas WHERE {s}_path IS NOT NULL)" for s in SPLITS)
     heads, tails = r"""[("<\-]""", r"[)>,.:;!?]"
@@ -376,6 +449,14 @@ def oracle_sql() -> dict[str, str]:
                      UNION ALL SELECT text, space_after FROM seg WHERE regexp_matches(text, '^[{SPACE}]'))
             SELECT text, count(*) AS n, sum(CASE WHEN space_after THEN 1 ELSE 0 END) AS spaced FROM long GROUP BY text""",
         "split_scan": f"SELECT split, data_path, count(*) AS lines, sum(length(text)) AS characters FROM ({split}) GROUP BY split, data_path",
+        "read_split": f"SELECT split, regexp_replace(regexp_replace(text, '[\\r\\n]+$', ''), '[\\r\\n]', ' ', 'g') AS line, count(*) AS n FROM ({split}) WHERE text IS NOT NULL GROUP BY ALL",
+        "encoded_splits": encoded,
+        "lm_matrices": f"""WITH {segments}{stream}{pairs}, m AS (SELECT example_id // {BATCH_SIZE} AS batch_id, t, example_id % {BATCH_SIZE} AS col, input_id, target_id FROM pairs WHERE example_id // {BATCH_SIZE} < (SELECT b FROM sizes))
+            SELECT batch_id, string_agg(input_id, ' ' ORDER BY t, col) AS input, string_agg(target_id, ' ' ORDER BY t, col) AS target FROM m GROUP BY batch_id""",
+        "windowed_tokens": f"""WITH RECURSIVE {token_ctes(segments)} SELECT strftime(date_trunc('day', collected_at), '%Y-%m-%d') AS day, tok.text AS token, count(*) AS n
+            FROM tok JOIN documents USING (doc_id) WHERE collected_at IS NOT NULL GROUP BY ALL""",
+        "doc_attributes": "SELECT doc_id, source, 'read,kept' AS state, 'text' AS topic, CAST(NULL AS VARCHAR) AS other FROM documents",
+        "sql_attributes": f"WITH {words}, {shape} SELECT words.word, CAST({bits().replace('word', 'words.word')} AS BIGINT) AS flags, shape FROM words JOIN shaped ON words.word = shaped.word",
         "vocab_first_seen": f"WITH {segments} {voc()}",
         "vocab_extended": f"""WITH {segments}, en AS (SELECT * FROM seg WHERE lang = 'en'), known AS ({voc('en')}), new AS (SELECT * FROM seg WHERE text NOT IN (SELECT token FROM known)), more AS ({voc('new')})
             SELECT token, id FROM known UNION ALL SELECT token, id + (SELECT count(*) FROM known) FROM more""",

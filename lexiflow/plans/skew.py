@@ -18,10 +18,11 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], count: str, hot: fl
     nothing.
     """
     values = [c for c in table.columns if c not in on]
+    hashed = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
     total = table.agg(F.sum(count)).scalar()
     known = table.where(F.col(count) > F.lit(hot) * total).select(*on, F.struct(*values).alias("_hot"))
     marked = rows.join(F.broadcast(known), on, "left")
-    salt = F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("long")
+    salt = F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(*hashed), F.lit(SALTS))).otherwise(F.lit(0)).cast("long")
     cold = table.select(*on, F.struct(*values).alias("_cold"), F.lit(0).cast("long").alias("_salt"))
     found = marked.withColumn("_salt", salt).join(cold, [*on, "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
     if how == "inner":

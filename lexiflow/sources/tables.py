@@ -4,17 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of input a core should have at least; less than that comes in too few row groups to keep all cores busy.
-SPREAD_BYTES = 4 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small scan dealt out to all cores. A table with ``SPREAD_BYTES`` a core or more is left as it is, unshuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # a big integer of the JVM, or a plain one
-    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
-
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """``folder/name.parquet``, a file or a folder of files."""
+    """``folder/name.parquet``, a file or a folder of files. How it is split is up to ``spark.sql.files.maxPartitionBytes``."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -68,6 +68,17 @@ def test_stop_default_is_false(spark):
     assert spark.createDataFrame([("the",)], "w string").select(L.is_stop(F.col("w"))).first()[0] is False
 
 
+def test_sql_functions_say_what_columns_do(spark):
+    names = L.register_sql(spark, ["the"])
+    df = spark.createDataFrame([(w,) for w in [*WORDS, "the", None]], "w string")
+    w = F.col("w")
+    columns = {a.name.lower(): L.is_stop(w, ["the"]) if a == L.Attribute.IS_STOP else f(w) for a, f in L.REGISTRY.items()}
+    columns = {n if n.startswith(("is_", "like_")) else f"word_{n}": c for n, c in columns.items()} | {"flag_word": L.flag_word(w, ["the"])}
+    assert set(names) == set(columns)
+    for n, c in columns.items():
+        assert df.select(c.alias("a"), F.expr(f"{n}(w)").alias("b")).where("NOT a <=> b").count() == 0, n
+
+
 def test_sql_functions(spark):
     names = register(spark)
     assert "like_num" in names

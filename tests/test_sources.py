@@ -17,11 +17,28 @@ def meta(tmp_path):
 def test_lines_keep_their_ends(spark, meta):
     rows = read_split(spark, meta, "train").orderBy("line_no").collect()
     assert [(r["line_no"], r["text"]) for r in rows] == [(0, "Lorem ipsum.\n"), (1, "\n"), (2, "Dolor\n"), (3, "sit é")]
-    big = read_split(spark, meta, "train", big=True).orderBy("line_no").collect()
-    assert [r["text"] for r in big] == ["Lorem ipsum.\n", "\n", "Dolor\n", "sit é\n"]
     assert spark.createDataFrame([("",)], "t string").select(F.size(lines(F.col("t")))).first()[0] == 0
 
 
+@pytest.mark.parametrize("block", ["128m", "7"])
+def test_line_ends_are_exact_however_files_are_split(spark, tmp_path, block):
+    contents = [b"", b"a", b"a\n", b"a\r\nb\rc", b"a\r\nb\r", b"\n\n", "é\u2028x\n\nlast line é".encode(), b"x" * 50 + b"\n" + b"y z\n" * 9, b"\r\n", "\ufeffa b\nc".encode()]
+    for i, data in enumerate(contents):
+        (tmp_path / f"f{i}.txt").write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        rows = read_split(spark, TextDatasetMeta(str(tmp_path)), "train").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["data_path"], r["line_no"])):
+        got.setdefault(int(r["data_path"].rsplit("f", 1)[1][:-4]), []).append((r["line_no"], r["text"]))
+    for i, data in enumerate(contents):
+        with open(tmp_path / f"f{i}.txt", encoding="utf-8-sig") as f:
+            assert got.get(i, []) == list(enumerate(f.readlines())), i
+
+
 def test_splits(spark, meta):
     assert set(read_dataset(spark, meta)) == {"train", "valid"} and read_dataset(spark, meta, "valid").count() == 1
     for bad in ("test", "other"):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from lexiflow.operators import lexeme, lm, vocab
 from lexiflow.operators.ordering import with_dense_number, with_running_sum
 from lexiflow.operators.tokenize import tokenize
+from lexiflow.plans.skew import lookup
 
 TOKENS = [(1, 0, "b"), (1, 1, "a"), (1, 2, "b"), (2, 0, "c"), (2, 1, "a"), (3, 0, "b")]
 
@@ -47,6 +48,34 @@ def test_hot_token_is_looked_up_without_a_shuffle_of_its_rows(spark):
     assert sorted(r["count"] for r in got) == [1] * 500 + [2000] and all(r["token_id"] is not None for r in got)
 
 
+def test_grown_vocabulary_keeps_counts(spark):
+    known = vocab.build_vocab(tokens(spark), ["doc_id", "position"])
+    grown = vocab.extend_vocab(known, tokens(spark, [(9, 0, "z"), (9, 1, "a"), (9, 2, "z")]), ["doc_id", "position"])
+    assert {r["token"]: r["n"] for r in grown.collect()} == {"b": 3, "a": 3, "c": 1, "z": 2}
+    again = vocab.extend_vocab(known.select("token", "id"), tokens(spark, [(9, 0, "a")]), ["doc_id", "position"])
+    assert {r["token"]: r["n"] for r in again.collect()} == {"b": 0, "a": 1, "c": 0}
+
+
+@pytest.mark.parametrize("small", [500, 0])
+def test_arrays_are_encoded_like_rows(spark, small):
+    docs = spark.createDataFrame([(3, ["b", "c", "b"]), (1, ["a", "b"]), (2, []), (4, None), (5, ["zz", None, "a"])], "doc_id long, tokens array<string>").repartition(3)
+    known = vocab.build_vocab_of_arrays(docs.where("doc_id < 5"), "doc_id")
+    assert {r["token"]: (r["id"], r["n"]) for r in known.collect()} == {"a": (0, 1), "b": (1, 3), "c": (2, 1)}
+    got = {r["doc_id"]: r["ids"] for r in vocab.encode_arrays(docs, known, small=small).collect()}
+    assert got[3] == [1, 2, 1] and got[1] == [0, 1] and got[2] == [] and not got[4] and got[5] == [None, None, 0]
+    back = vocab.decode(spark.createDataFrame([(0,), (2,), (9,), (None,)], "token_id long"), known, small=small)
+    assert {(r["token_id"], r["token"]) for r in back.collect()} == {(0, "a"), (2, "c"), (9, None), (None, None)}
+
+
+def test_lookup_spreads_hot_keys(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"), "id")
+    table = spark.createDataFrame([("hot", 1000, "x"), ("5", 1, "y"), ("no", 0, "z")], "k string, n long, v string")
+    got = {r["id"]: r["v"] for r in lookup(rows, table, ["k"], "n", how="left").collect()}
+    assert len(got) == 3000 and got[0] == "x" and got[5] == "y" and got[1] is None and got[8] is None
+    assert lookup(rows, table, ["k"], "n").count() == 1001
+    assert lookup(rows, table.limit(0), ["k"], "n").count() == 0
+
+
 def test_encoder_grows(spark):
     encoder = vocab.SentenceEncoder(lambda df: tokenize(df, "doc_id"))
     docs = lambda *t: spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
@@ -80,6 +109,21 @@ def test_batches_golden(spark):
         lm.BPTTIterator(1, 1, shuffle=True)
 
 
+@pytest.mark.parametrize("length", [1, 3, 7])
+def test_pieces_give_the_examples_of_single_ids(spark, length):
+    sizes, pos, pieces = [5, 1, 0, 9, 2, 2, 30, 1, 1, 1, 7], 0, []
+    for n in sizes:
+        pieces.append((pos, list(range(pos, pos + n))))
+        pos += n
+    docs = spark.createDataFrame([(k, ids) for k, (_, ids) in enumerate(pieces)], "doc_id long, ids array<long>").repartition(4)
+    made = lm.stream_of_documents(docs, ["doc_id"])
+    assert sorted((r["pos"], r["token_id"]) for r in lm.stream_rows(made).collect()) == [(i, i) for i in range(pos)]
+    plain = {(r["example_id"], *r["input"], *r["target"]) for r in lm.examples(stream(spark, pos), length).collect()}
+    got = [(r["example_id"], *r["input"], *r["target"]) for r in lm.examples(made, length).collect()]
+    assert set(got) == plain and len(got) == len(plain) == (pos - 1) // length
+    assert lm.matrices(made, length, 2).collect() == lm.batch_matrices(lm.batches(made, length, 2)).orderBy("batch_id").collect() or sorted(lm.matrices(made, length, 2).collect()) == sorted(lm.batch_matrices(lm.batches(made, length, 2)).collect())
+
+
 @pytest.mark.parametrize(("n", "examples"), [(0, 0), (1, 0), (3, 0), (4, 1), (7, 2)])
 def test_edge_sizes(spark, n, examples):
     assert lm.sizes(stream(spark, n), 3, 1).first()["num_examples"] == examples
