@@ -45,8 +45,8 @@ def first_seen_in_arrays(docs: DataFrame, key: str, tokens: str = "tokens") -> D
             row = np.repeat(np.arange(len(size)), size)
             position = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             n = np.bincount(code, minlength=len(coded.dictionary) + 1)[: len(coded.dictionary)]
-            first = np.full(len(coded.dictionary) + 1, len(code))
-            np.minimum.at(first, code, np.arange(len(code)))
+            first = np.zeros(len(coded.dictionary) + 1, dtype=np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]  # the last one written is the first one in the batch
             at = first[: len(coded.dictionary)]
             yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), keys.take(pa.array(row[at])), pa.array(position[at]), pa.array(n, pa.int64())], ["token", "k", "position", "n"])
 
