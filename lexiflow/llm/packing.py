@@ -6,8 +6,8 @@ opens a container, a subset-sum dynamic programme over a bitset of reachable sum
 that comes closest to the capacity, and backtracking gives the count of each length in it. The pattern is then used as
 often as the counts allow, so the number of steps depends on the number of distinct lengths, not on the number of items.
 
-Items get their containers by their rank among the items of equal length. Ranks are made in hashed buckets with offsets
-between them, so a length that a third of all items share is spread over all buckets.
+Items get their containers by their rank among the items of equal length. A length has a hashed bucket for each ``RANKED``
+items, with offsets between them, so one that a third of all items share is ranked in as many tasks as it needs.
 
 An item longer than the capacity is cut into pieces of just the capacity and a rest; no other item is split. An item of
 length 0 takes no room and is put into container 0. Null lengths count as 0. Capacities below 1 or null are left out.
@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 
 from lexiflow.llm.common import cut
 
-#: Buckets for ranks within one length.
-BUCKETS = 64
-SHIFT = 40  # a rank has fewer bits than this
+#: Items of one length that are ranked together, about.
+RANKED = 250_000
 
 
 def fill(counts: dict[int, int], room: int) -> Counter:
@@ -98,15 +97,15 @@ def pack(df: DataFrame, key: str, length: str, specs: dict[int, int]) -> DataFra
     spark = df.sparkSession
     if not specs:
         return spark.createDataFrame([], f"spec_id int, `{key}` long, piece long, size long, container long")
-    items = pieces(df, key, length, specs).withColumn("bucket", F.pmod(F.xxhash64("k", "piece"), F.lit(BUCKETS)).cast("int"))
-    tally = items.where("size > 0").groupBy("spec_id", "size", "bucket").agg(F.count("*").alias("n"))
+    items = pieces(df, key, length, specs)
     histogram: dict[int, dict[int, int]] = {s: {} for s in specs}
-    for r in tally.groupBy("spec_id", "size").agg(F.sum("n").alias("n")).collect():  # at most the sum of the capacities
+    for r in items.where("size > 0").groupBy("spec_id", "size").agg(F.count("*").alias("n")).collect():  # at most the sum of the capacities
         histogram[r["spec_id"]][r["size"]] = r["n"]
+    most = max((n for h in histogram.values() for n in h.values()), default=0)
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("k", "piece"), F.lit(most // RANKED + 1)).cast("int"))
     step = max(specs.values()) + 1
     number = {s: i for i, s in enumerate(sorted(specs))}
-    rows = [((number[s] * step + x) << SHIFT | first, first, base, n) for s, c in specs.items() for x, first, base, n in ranges(plan(histogram[s], c))]
-    rows.sort()
+    rows = sorted((number[s] * step + x, first, base, n) for s, c in specs.items() for x, first, base, n in ranges(plan(histogram[s], c)))
     shared = spark.sparkContext.broadcast(np.array(rows, dtype=np.int64).reshape(-1, 4))
 
     @F.pandas_udf("long")
@@ -114,13 +113,19 @@ def pack(df: DataFrame, key: str, length: str, specs: dict[int, int]) -> DataFra
         import pandas as pd
 
         at = shared.value
-        if not len(at):
-            return pd.Series(np.zeros(len(slot), dtype=np.int64))
-        rank, slot = rank.to_numpy(), slot.to_numpy()
-        i = np.searchsorted(at[:, 0], slot << SHIFT | np.maximum(rank, 0), side="right") - 1
-        return pd.Series(np.where(rank < 0, 0, at[i, 2] + (rank - at[i, 1]) // at[i, 3]))
+        slot, rank = slot.to_numpy(), rank.to_numpy()
+        out = np.zeros(len(slot), dtype=np.int64)
+        # Questions and ranges in one order: the range of a question is the last one before it.
+        asked = np.flatnonzero(rank >= 0)
+        order = np.lexsort((np.repeat([0, 1], [len(at), len(asked)]), np.concatenate([at[:, 1], rank[asked]]), np.concatenate([at[:, 0], slot[asked]])))
+        is_range = order < len(at)
+        found = np.maximum.accumulate(np.where(is_range, order, -1))
+        i, mine = found[~is_range], asked[order[~is_range] - len(at)]
+        out[mine] = at[i, 2] + (rank[mine] - at[i, 1]) // at[i, 3]
+        return pd.Series(out)
 
     before = Window.partitionBy("spec_id", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tally = items.where("size > 0").groupBy("spec_id", "size", "bucket").agg(F.count("*").alias("n"))
     offsets = tally.select("spec_id", "size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     own = Window.partitionBy("spec_id", "size", "bucket").orderBy("k", "piece")
     ranked = items.where("size > 0").withColumn("own", F.row_number().over(own) - 1).join(offsets, ["spec_id", "size", "bucket"])

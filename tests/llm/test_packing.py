@@ -72,3 +72,15 @@ def test_summary(spark):
     packed = spark.createDataFrame([(1, 1, 0, 10, 0), (1, 2, 0, 6, 0), (1, 3, 0, 8, 1)], "spec_id int, doc_id long, piece long, size long, container long")
     specs = spark.createDataFrame([(1, 16, "n"), (1, 16, "n")], "spec_id int, capacity long, note string")
     assert tuple(P.summary(packed, specs).first()) == (1, 16, 2, 24, 8)
+
+
+def test_hot_lengths_and_wide_containers(spark, monkeypatch):
+    monkeypatch.setattr(P, "RANKED", 10)
+    rows = [(i, 5_000_000) for i in range(300)] + [(i, 5_000_000 + i) for i in range(300, 320)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens long").repartition(4)
+    plans = {1: [({5_000_000: 2}, 150), *(({5_000_000 + i: 1}, 1) for i in range(300, 320))]}
+    monkeypatch.setattr(P, "plan", lambda histogram, capacity: plans[1])
+    got = P.pack(df, "doc_id", "tokens", {1: 11_000_000, 7: 11_000_000, 8: 11_000_000, 9: 11_000_000}).collect()
+    for spec in (1, 7, 8, 9):
+        used = Counter(r["container"] for r in got if r["spec_id"] == spec)
+        assert set(used) == set(range(170)) and sum(used.values()) == 320 and sum(n == 2 for n in used.values()) == 150
