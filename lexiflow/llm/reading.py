@@ -9,10 +9,12 @@ occur the more the more demanding a text is. The parameters are estimated by alt
 * item step: given the levels, a Newton step for a[i] and b[i]; what it needs of the documents are the sums of counts
   times level and a histogram of levels, both aggregated in the tasks before they are shuffled.
 
-The first item step uses the graded passages alone, which anchors the scale; the others use passages and documents.
+The first item step uses the graded passages alone, which anchors the scale; the others use passages and documents, until the
+passages' levels move by less than ``TOLERANCE`` grades (root mean square) in a round.
 
-The item bank is fixed by the graded passages (a bounded table): words found in ``LEAST`` of them or more, and shapes
-(word lengths and sentence lengths), which any language has. Levels are brought to the passages' grades by the median
+The driver holds ``PASSAGES`` graded passages at most, in the order of a hash of their text if there are more, and their
+counts as lists of what is there. They fix the item bank: words found in ``LEAST`` of them or more, and shapes (word lengths
+and sentence lengths), which any language has. Levels are brought to the passages' grades by the median
 latent level of each grade, which errors of single raters don't move; between the medians the scale is linear.
 
 Results: ``basis`` is 'words' for English texts, and for texts without a known language of which three words in ten or
@@ -34,7 +36,8 @@ from lexiflow.llm.common import cut
 
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 SENTENCE_END = re.compile(r"[.!?…]+\s")
-LEAST, PRIOR, RIDGE, ROUNDS = 3, 0.2, 1.0, 4
+LEAST, PRIOR, RIDGE, PASSAGES = 3, 0.2, 1.0, 20_000
+TOLERANCE, ROUNDS = 0.02, 30
 GRID = np.linspace(-6.0, 6.0, 2401)
 LONGEST_WORD, LONGEST_SENTENCE, SENTENCE_STEP = 16, 60, 4
 SHAPES = [f"#{n}" for n in range(1, LONGEST_WORD + 1)] + [f"#s{n}" for n in range(0, LONGEST_SENTENCE + 1, SENTENCE_STEP)]
@@ -90,6 +93,22 @@ class Family:
             self._table()
 
 
+class Counts:
+    """Counts of items in passages, as lists of (passage, item, count)."""
+
+    def __init__(self, rows: list[Counter], items: int):
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows]).astype(np.int64)
+        self.item = np.array([i for r in rows for i in r], dtype=np.int64)
+        self.n = np.array([n for r in rows for n in r.values()], dtype=float)
+        self.rows, self.items = len(rows), items
+
+    def by_item(self, weight: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(self.item, weights=self.n if weight is None else self.n * weight[self.row], minlength=self.items)
+
+    def by_row(self, weight: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(self.row, weights=self.n if weight is None else self.n * weight[self.item], minlength=self.rows)
+
+
 def _on_grid(level: np.ndarray) -> np.ndarray:
     return np.clip(np.rint((level - GRID[0]) / (GRID[1] - GRID[0])), 0, len(GRID) - 1).astype(np.int64)
 
@@ -105,9 +124,10 @@ class Model:
         self.grade = np.array([g for _, g in passages])
         self.start = (self.grade - self.grade.mean()) / (self.grade.std() or 1.0) if len(passages) else self.grade
         self.words, self.shapes = Family(len(self.bank)), Family(len(SHAPES))
+        shapes = (dict(enumerate(shape_counts(t, ws).tolist())) for (t, _), ws in zip(passages, cut_up, strict=True))
         self.counts = (
-            np.array([np.bincount([self.bank[w] for w in ws if w in self.bank], minlength=len(self.bank)) for ws in cut_up], dtype=float).reshape(len(passages), len(self.bank)),
-            np.array([shape_counts(t, ws) for (t, _), ws in zip(passages, cut_up, strict=True)], dtype=float).reshape(len(passages), len(SHAPES)),
+            Counts([Counter(self.bank[w] for w in ws if w in self.bank) for ws in cut_up], len(self.bank)),
+            Counts([Counter({i: n for i, n in s.items() if n}) for s in shapes], len(SHAPES)),
         )
         self.at = [self.start, self.start]
         self._items([None, None], 6)
@@ -121,12 +141,11 @@ class Model:
             if not len(family.a) or not len(self.grade):
                 continue
             x = self.counts[k]
-            total, by_level, mass = x.sum(axis=0), self.at[k] @ x, np.zeros(len(GRID))
-            np.add.at(mass, _on_grid(self.at[k]), x.sum(axis=1))
+            total, by_level, mass = x.by_item(), x.by_item(self.at[k]), np.bincount(_on_grid(self.at[k]), weights=x.by_row(), minlength=len(GRID))
             if documents[k] is not None:
                 total, by_level, mass = total + documents[k][0], by_level + documents[k][1], mass + documents[k][2]
             family.step(total, by_level, mass, newtons)
-            self.at[k] = family.levels(x.sum(axis=1), x @ family.b)
+            self.at[k] = family.levels(x.by_row(), x.by_row(family.b))
 
     def scale(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(latent level, grade): the rising medians of the grades, in a straight line beyond the ends."""
@@ -141,6 +160,10 @@ class Model:
                 at, grades = (np.insert(at, 0, far), np.insert(grades, 0, far_grade)) if end < 0 else (np.append(at, far), np.append(grades, far_grade))
         return at, grades
 
+    def graded(self) -> list[np.ndarray]:
+        """The passages' levels in grades, by both families."""
+        return [np.interp(self.at[k], *self.scale(k)) if len(self.grade) else self.grade for k in range(2)]
+
 
 def vectors(df: DataFrame, key: str, text: str, lang: str, bank: dict[str, int]) -> DataFrame:
     """(k, basis, n_words, item, n, shape): the counts of the bank's words and of the shapes in each document."""
@@ -183,9 +206,11 @@ def _sparse(batch: pa.RecordBatch, k: int, b: np.ndarray) -> tuple[np.ndarray, n
 
 
 def fit(documents: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """Alternate over the documents' vectors. A task returns sums as long as the bank and the grid, never rows of documents."""
+    """Alternate over the documents' vectors until the passages' levels stand still, ``rounds`` times at most. A task returns
+    sums as long as the bank and the grid, never rows of documents."""
     sc = documents.sparkSession.sparkContext
     for _ in range(rounds):
+        before = model.graded()
         shared = sc.broadcast(model)
 
         def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -211,6 +236,8 @@ def fit(documents: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             full[what][at] = value
         model._items([full[:3], full[3:]], 4)
         shared.unpersist()
+        if all(((a - b) ** 2).sum() <= TOLERANCE**2 * len(a) for a, b in zip(before, model.graded(), strict=True)):
+            break
     return model
 
 
@@ -241,7 +268,8 @@ def reading_levels(df: DataFrame, key: str, text: str, lang: str, passages: Data
 
     Documents are cut into words once; their counts are written and read again by each round.
     """
-    graded = passages.where(F.col(passage_text).isNotNull() & F.col(grade).isNotNull()).select(passage_text, grade).orderBy(passage_text, grade).collect()
+    graded = passages.where(F.col(passage_text).isNotNull() & F.col(grade).isNotNull()).select(passage_text, grade)
+    graded = graded.orderBy(F.xxhash64(passage_text), passage_text, grade).limit(PASSAGES).collect()
     model = Model([(r[0], r[1]) for r in graded])
     documents = cut(vectors(df, key, text, lang, model.bank))
     return levels(documents, fit(documents, model), key)

@@ -57,3 +57,11 @@ def test_empty_tables(spark):
     assert R.reading_levels(docs, "doc_id", "text", "lang", passages).count() == 0
     some = spark.createDataFrame([(1, "a b c", "en")], "doc_id long, text string, lang string")
     assert [r["level"] for r in R.reading_levels(some, "doc_id", "text", "lang", passages).collect()] == [None]
+
+
+def test_counts_are_sums():
+    rows = [{0: 2, 2: 1}, {}, {2: 5}]
+    dense = np.array([[2, 0, 1], [0, 0, 0], [0, 0, 5.0]])
+    own, level, weight = R.Counts(rows, 3), np.array([1.0, 2.0, -1.0]), np.array([0.5, 1.0, 2.0])
+    assert (own.by_item() == dense.sum(axis=0)).all() and (own.by_item(level) == level @ dense).all()
+    assert (own.by_row() == dense.sum(axis=1)).all() and (own.by_row(weight) == dense @ weight).all()
