@@ -2,9 +2,12 @@
 
 1. Adjacent character pairs are scored by their mutual information over the whole corpus. Plain letters, digits, blanks
    and signs are one symbol each, every other character is its own, and only pairs with such a character are counted.
-   Runs that are valid UTF-8 once mapped back through a wrong encoding don't vouch for themselves, so they are left out
-   of the counts; a pair in fewer than ``SUPPORT`` of the records has no support and gets the lowest score.
-2. In each record the maximum-scoring segments of improbability are isolated: pairs with a low score add, others take off.
+   Runs that are valid UTF-8 once mapped back through a wrong encoding, replacement characters and stray controls don't
+   vouch for themselves, so they are left out of the counts. As mutual information is unreliable for what is rare, it is
+   shrunk towards the lowest score in proportion to what a pair lacks of standing in ``SUPPORT`` of the records: the more two
+   characters attract each other, the fewer records it takes to make them probable.
+2. In each record the maximum-scoring segments of improbability are isolated: pairs with a low score add, others take off,
+   and a segment counts by its sum. Only what stands in such a segment can make a record a damaged one.
 3. Only inside these segments the inverse mappings are tested: back through each wrong encoding, then forward as UTF-8 or
    as another one-byte encoding. A mapping counts if the pairs it leaves are probable ones; this is repeated, for text
    that was damaged several times.
@@ -17,7 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +30,26 @@ from pyspark.sql import functions as F
 from lexiflow.llm.common import cut
 from lexiflow.llm.lookalike import COMPAT, PROTOTYPE
 
-#: Share of the records that a pair must stand in, and the least number of them.
+#: Share of the records that a pair must stand in for its score to count in full, and the least number of them.
 SUPPORT, LEAST = 0.001, 3
-#: Score of a pair without support, and what each pair takes off the improbability of a segment.
-LOWEST, DRAG = -4.0, 1.0
+#: Score of a pair without any support, scores between which mutual information counts (what stands in enough records isn't
+#: improbable, however much the two avoid each other), the score down to which a pair counts as improbable, what each
+#: pair takes off the improbability of a segment, and what a segment must come to: as much as one improbable pair.
+LOWEST, LEAST_INFORMATION, HIGHEST, WEAK, DRAG = -4.0, -2.0, 4.0, -3.0, 1.0
+ENOUGH = -WEAK - DRAG
+#: Below this share of the support any pair is improbable, so it isn't kept.
+FAINT = 0.1
+#: What a mapping may leave of the improbability at most.
+LEFT = 0.75
 #: Wrong encodings a text may have come through, and one-byte encodings it may have been written in.
-WRONG = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866", "iso8859_15", "cp1250", "iso8859_2")
-TRUE = ("cp1252", "cp1251", "mac_roman", "cp850", "cp437", "koi8_r", "cp866")
+WRONG = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866", "iso8859_15", "cp1250", "iso8859_2", "cp1253", "cp1254", "cp1257", "cp1258", "iso8859_5", "iso8859_7")
+TRUE = ("cp1252", "cp1251", "mac_roman", "cp850", "cp437", "koi8_r", "cp866", "cp1250", "cp1253")
 #: Wrong encodings whose letters stand in many rare names, so a few of them are no evidence of one-byte damage.
-NAMES = ("cp1250", "iso8859_2")
-#: Encodings of two bytes that UTF-8 may have been read in.
-WIDE = ("gbk",)
+NAMES = ("cp1250", "iso8859_2", "cp1257", "cp1254", "cp1258")
+#: Encodings of two bytes that UTF-8 may have been read in, or that a text may have been written in.
+WIDE = ("gbk", "big5", "cp932", "euc_kr", "euc_jp")
+#: Characters of two bytes that a run must give to be taken for text of such an encoding.
+WIDE_RUN = 3
 DEPTH = 3
 #: What one-byte damage there can be at most, in times of its rate; how even its rate is, beside how many letters, and for
 #: how many more letters.
@@ -181,7 +193,7 @@ def pair_counts(df: DataFrame, column: str) -> DataFrame:
     known = IN_REPERTOIRE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hide = lambda m: "\x00" * len(m[0]) if len(m[0]) > 1 and invertible(m[0]) or LOST in m[0] else m[0]
+        hide = lambda m: "\x00" * len(m[0]) if len(m[0]) > 1 and invertible(m[0]) or LOST in m[0] or STRAY.search(m[0]) else m[0]
         for batch in batches:
             texts = [t for t in batch.column(0).to_pylist() if t]
             if not texts:
@@ -205,7 +217,7 @@ def pair_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 class Scores:
-    """Mutual information of the pairs that have support; any other pair of its kind has the lowest score.
+    """The pairs' mutual information, shrunk by their support; a pair that isn't kept has the lowest score.
 
     ``letters`` says how often a character stands between two plain ones, letters as they are.
     """
@@ -213,6 +225,10 @@ class Scores:
     def __init__(self, rows: list[tuple[int, float]], letters: dict[int, int] | None = None):
         rows, self.letters = sorted(rows), letters or {}
         self.keys, self.score = np.array([k for k, _ in rows], dtype=np.int64), np.array([s for _, s in rows], dtype=float)
+        self.costs: dict[str, tuple[float, float]] = {}
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "costs"} | {"costs": {}}
 
     def of(self, cp: np.ndarray) -> np.ndarray:
         """Score of each adjacent pair; plain pairs have none to speak of, 0."""
@@ -223,9 +239,25 @@ class Scores:
             k = key[some]
             at = np.minimum(np.searchsorted(self.keys, k), max(len(self.keys) - 1, 0))
             known = self.keys[at] == k if len(self.keys) else np.zeros(len(k), bool)
-            out[some] = np.where(known, np.clip(self.score[at], LOWEST / 2, 4) if len(self.keys) else 0, LOWEST)
+            out[some] = np.where(known, self.score[at] if len(self.keys) else 0, LOWEST)
         return out
 
+    def cost(self, text: str) -> tuple[float, float]:
+        """How improbable the pairs of a text are together (the sum of the scores below zero), and the lowest score."""
+        if (known := self.costs.get(text)) is None:
+            s = self.of(code_points(text))
+            known = float(-s[s < 0].sum()), float(s.min(initial=0))
+            if len(text) < 64:
+                if len(self.costs) > 500_000:
+                    self.costs.clear()
+                self.costs[text] = known
+        return known
+
+
+def shrunk(score: float, records: float, least: float) -> float:
+    """Mutual information brought towards the lowest score as far as the pair lacks support."""
+    return LOWEST + (min(max(score, LEAST_INFORMATION), HIGHEST) - LOWEST) * min(1.0, max(records, 0.0) / least)
+
 
 @lru_cache(maxsize=1)
 def one_byte_maps() -> tuple[dict[int, int], ...]:
@@ -281,7 +313,7 @@ def damage_records(exact: dict[int, int], records: dict[int, int]) -> dict[int,
 def train(df: DataFrame, column: str = "text") -> Scores:
     """Scores from all rows. A pair has support by the records that can't be one-byte damage of a more frequent pair.
 
-    At most 1 / SUPPORT times the mean number of pairs in a row, and the pairs of the one-byte alphabets, reach the driver.
+    At most 1 / (FAINT * SUPPORT) times the mean number of pairs in a row, and the pairs of the one-byte alphabets, reach the driver.
     """
     every = cut(pair_counts(df, column))
     rows = every.where("pair = -1").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
@@ -289,17 +321,18 @@ def train(df: DataFrame, column: str = "text") -> Scores:
     counts = every.where((F.col("pair") >= 0) & (F.col("pair") < EXACT)).withColumn("a", a).withColumn("b", b)
     left, right = counts.groupBy("a").agg(F.sum("n").alias("na")), counts.groupBy("b").agg(F.sum("n").alias("nb"))
     least = max(LEAST, SUPPORT * rows)
-    kept = counts.where(F.col("records") >= least)
+    kept = counts.where(F.col("records") >= FAINT * least)
     total = counts.agg(F.sum("n")).scalar()
     scored = kept.join(left, "a").join(right, "b").select("pair", "records", F.log(F.col("n") * F.lit(1.0) * total / F.col("na") / F.col("nb")).alias("score"))
     found, exact = scored.collect(), every.where(F.col("pair") >= EXACT).select("pair", "n").collect()
     damage = damage_records({k - EXACT: n for k, n in exact if k < TRIPLE}, {r[0]: r[1] for r in found})
     letters = {k: n for k, n in exact if k >= TRIPLE and n >= max(LEAST, SUPPORT * rows / 10)}
-    return Scores([(k, score) for k, records, score in found if records - damage.get(k, 0.0) >= least], letters)
+    return Scores([(k, shrunk(score, records - damage.get(k, 0.0), least)) for k, records, score in found], letters)
 
 
-def segments(score: np.ndarray) -> list[tuple[int, int]]:
-    """Maximum-scoring segments (first pair, last pair + 1) of improbability, from the left, disjoint."""
+def segments(score: np.ndarray, enough: float = ENOUGH) -> list[tuple[int, int]]:
+    """Maximum-scoring segments (first pair, last pair + 1) of improbability, from the left, disjoint, as far as their sum
+    is ``enough``."""
     out, total, best, begin, end = [], 0.0, 0.0, 0, 0
     gain = -score - DRAG
     at, n = 0, len(gain)
@@ -315,21 +348,30 @@ def segments(score: np.ndarray) -> list[tuple[int, int]]:
             if total > best:
                 best, end = total, i + 1
             i += 1
-        out.append((begin, end))
+        if best >= enough:
+            out.append((begin, end))
         at = end
     return out
 
 
 def cost(text: str, scores: Scores) -> float:
     """How improbable the pairs of a text are together: the sum of the scores below zero."""
-    s = scores.of(code_points(text))
-    return float(-s[s < 0].sum())
+    return scores.cost(text)[0]
+
+
+def lowest(text: str, scores: Scores) -> float:
+    return scores.cost(text)[1]
 
 
 def _mapped(part: str, before: str, after: str, scores: Scores) -> str | None:
-    """The best mapping of ``part`` back through a wrong encoding and forward as UTF-8, between its neighbours, or None."""
+    """The best mapping of ``part`` back through a wrong encoding and forward as UTF-8, between its neighbours, or None.
+
+    Look-alike letters, blanks and ignorable characters beside letters are no evidence on their own.
+    """
+    if (before.isalpha() or after.isalpha()) and all(ord(c) in NO_EVIDENCE for c in part):
+        return None
     now = cost(before + part + after, scores)
-    best, least = None, now
+    best, least = None, LEFT * now
     for wrong in (*WRONG, *WIDE) if min(part) >= "\u3400" else WRONG if len(part) > 1 else ():
         if (out := as_utf8(part, wrong)) is not None and out != part:
             c = cost(before + out + after, scores)
@@ -353,12 +395,12 @@ def sequences(encoding: str) -> re.Pattern:
 
 def _part_mapped(part: str, before: str, after: str, scores: Scores) -> str | None:
     """``part`` with only the UTF-8 sequences in it mapped back, where they stand beside rightful signs, or None."""
-    best, least = None, cost(before + part + after, scores) + LOWEST / 2
+    best, least = None, cost(before + part + after, scores) + WEAK / 2
     for wrong in WRONG if len(part) > 2 else ():
         out = sequences(wrong).sub(lambda m: as_utf8(m[0], wrong) or m[0], part)  # noqa: B023
         if out == part or any(c.isalpha() or c.isspace() for c in sequences(wrong).sub("", part)):
             continue
-        if (c := cost(before + out + after, scores)) < least and scores.of(code_points(before + out + after)).min(initial=0) > LOWEST:
+        if (c := cost(before + out + after, scores)) < least and lowest(before + out + after, scores) > WEAK:
             best, least = out, c
     return best
 
@@ -398,11 +440,11 @@ def _spelt(before: str, now: str, out: str, after: str, scores: Scores) -> bool:
     isn't put in. Most pairs of a longer
     run must lack support now, as those of a rare word don't.
     """
-    if scores.of(code_points(before + out + after)).min(initial=0) <= LOWEST:
+    if lowest(before + out + after, scores) <= WEAK:
         return False
     if len(out) > 1:
         score = scores.of(code_points(before + now + after))
-        return 2 * int((score <= LOWEST).sum()) > len(score)
+        return 2 * int((score <= WEAK).sum()) > len(score)
     if ord(out) in NO_EVIDENCE or not (before + after).strip():
         return False
     if out.isalpha() and not now.isalpha() and not (before.isalpha() and after.isalpha()):
@@ -432,13 +474,13 @@ def _byte_mapping(text: str, runs: list[tuple[int, int]], scores: Scores) -> str
         mixed = set()
     done: dict[int, str] = {}
     while len(done) < len(runs):
-        rest = [i for i in range(len(runs)) if i not in done and cost_now[i] >= -LOWEST]
+        rest = [i for i in range(len(runs)) if i not in done and cost_now[i] >= -WEAK]
         chars = [c for i in rest for c in around[i][1] if ord(c) not in NO_EVIDENCE]
         if not chars:
             break
         few = len(chars) < 3 and len(set(chars)) < 2
         now = sum(cost_now[i] for i in rest)
-        sign = few and len(chars) == 1 and not chars[0].isalpha() and now >= -2 * LOWEST and all(around[i][0] and around[i][2] for i in rest)
+        sign = few and len(chars) == 1 and not chars[0].isalpha() and now >= -2 * WEAK and all(around[i][0] and around[i][2] for i in rest)
         best, most = {}, 0.0
         for wrong in WRONG:
             raws = {i: raw for i in rest if (raw := to_bytes(around[i][1], wrong)) is not None}
@@ -476,13 +518,11 @@ def _closes(text: str, start: int, end: int) -> bool:
 
 
 def _suspects(text: str, scores: Scores) -> list[tuple[int, int]]:
-    """The improbable segments that hold a pair without support, each widened to whole runs of other characters."""
-    score = scores.of(code_points(text))
+    """The improbable segments, each widened to whole runs of other characters. A blank is put before and after the text."""
+    score = scores.of(code_points(f"\n{text}\n"))
     out, at = [], 0
     for first, last in segments(score):
-        if score[first:last].min() > LOWEST:
-            continue
-        runs = list(RUN_OF_OTHERS.finditer(text, max(at, first), last + 1))
+        runs = list(RUN_OF_OTHERS.finditer(text, max(at, first - 1), last))
         if not runs:
             continue
         a, b = runs[0].start(), runs[-1].end()
@@ -495,10 +535,34 @@ def _suspects(text: str, scores: Scores) -> list[tuple[int, int]]:
     return out
 
 
+def _wide_mapping(text: str, runs: list[tuple[int, int]], scores: Scores, sure: bool) -> str | None:
+    """The text with runs that are a text of two-byte characters read in a one-byte encoding: each pair of bytes must give a
+    letter, ``WIDE_RUN`` or more, and no pair of the run may be a probable one. If ``sure``, all pairs of the new run must be."""
+    parts, at = [], 0
+    for s, e in runs:
+        if (e - s) % 2 or e - s < 2 * WIDE_RUN or (scores.of(code_points(text[s:e])) > WEAK).any():
+            continue
+        made = []
+        for wrong in ("cp1252", "mac_roman", "cp437", "cp1251"):
+            raw = to_bytes(text[s:e], wrong)
+            outs = (raw.decode(true, "replace") for true in WIDE) if raw is not None else ()
+            made += [o for o in outs if len(o) == (e - s) // 2 and all(unicodedata.category(c) == "Lo" and c >= "\u3040" for c in o)]
+        best = min(made, key=lambda o: cost(o, scores), default=None)
+        if best is not None and (not sure or lowest(best, scores) > WEAK):
+            parts += [text[at:s], best]
+            at = e
+    return "".join([*parts, text[at:]]) if parts else None
+
+
 def repair(text: str, scores: Scores) -> tuple[bool, bool, str]:
     """(damaged, restored, text): whether some of the text was decoded wrongly, and the text with that mapped back."""
-    damaged = lost = LOST in text
-    damaged = damaged or STRAY.search(text) is not None
+    # Replacement characters and stray controls have no support, so they always stand in a segment.
+    ruined = lambda: any(LOST in text[a:b] or STRAY.search(text, a, b) for a, b in _suspects(text, scores))
+    damaged = lost = ruined()
+    lost = lost and LOST in text
+    left = lambda: [(m.start(), m.end()) for a, b in _suspects(text, scores) for m in RUN_OF_OTHERS.finditer(text, a, b) if LOST not in m[0] and not _closes(text, a, b)]
+    if (out := _wide_mapping(text, left(), scores, sure=True)) is not None:
+        text, damaged = out, True
     for _ in range(DEPTH):
         changed, parts, at = False, [], 0
         for a, b in _suspects(text, scores):
@@ -516,10 +580,12 @@ def repair(text: str, scores: Scores) -> tuple[bool, bool, str]:
         if not changed:
             break
         text, damaged = "".join([*parts, text[at:]]), True
-    left = lambda: [(m.start(), m.end()) for a, b in _suspects(text, scores) for m in RUN_OF_OTHERS.finditer(text, a, b) if LOST not in m[0] and not _closes(text, a, b)]
-    if (runs := left()) and (out := _byte_mapping(text, runs, scores)) is not None:
-        text, damaged = out, True
-    if runs and (runs := left()):
+    runs = left()
+    for way in (_byte_mapping, partial(_wide_mapping, sure=False)):
+        if runs and (out := way(text, runs, scores=scores)) is not None:
+            text, damaged = out, True
+            runs = left()
+    if runs:
         torn, out = _torn(text, runs, scores)
         if torn:
             text, damaged = out, True
@@ -539,10 +605,13 @@ def restore(df: DataFrame, key: str, column: str, scores: Scores) -> DataFrame:
             ks, oks, outs = [], [], []
             rows = [(k, t) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t and not t.isascii()]
             if rows:
-                score = own.of(code_points("\n".join(t for _, t in rows)))
-                row = np.repeat(np.arange(len(rows)), [len(t) + 1 for _, t in rows])[: len(score)]
-                lost = [i for i, (_, t) in enumerate(rows) if LOST in t or STRAY.search(t)]
-                for i in np.union1d(row[score <= LOWEST], lost).astype(int).tolist():
+                joined = "\n".join(["", *(t for _, t in rows), ""])
+                score = own.of(code_points(joined))
+                row = np.repeat(np.arange(len(rows)), [len(t) + 1 for _, t in rows])
+                row = np.append(row, len(rows) - 1)[: len(score)]
+                # No segment comes to enough where the pairs that add anything don't.
+                gain = np.bincount(row, weights=np.maximum(-score - DRAG, 0), minlength=len(rows))
+                for i in np.flatnonzero(gain >= ENOUGH).tolist():
                     k, t = rows[i]
                     damaged, ok, out = repair(t, own)
                     if damaged:

@@ -116,3 +116,34 @@ def test_pieces_of_utf8(spark, corpus):
     assert M.repair(garble("le résumé", "cp1250"), scores) == (True, True, "le résumé")
     assert M.repair("le résumé a été".encode().decode("gbk"), scores) == (True, True, "le résumé a été")
     assert [t for t in [*corpus, *more] if M.repair(t, scores)[0]] == []
+
+
+OTHERS = {
+    "pl": "żółta łódka płynęła przez święta rzekę gdzie źródło śpiewało wśród ćmy mąż książkę", "el": "το παλιό βιβλίο είναι στο σπίτι και η νέα ιστορία δεν έχει λάθος κάθε αναγνώστης",
+    "ja": "古い本は家にある新しい物語には間違いがない読者は毎日図書館で長い文章を読む", "tr": "eski kitap şimdi çok güzel bir öğretmen için yazılmış ağaç ışık dağ",
+}
+
+
+@pytest.mark.parametrize(("lang", "wrong", "true"), [
+    ("pl", "cp1252", "utf-8"), ("pl", "cp1250", "utf-8"), ("pl", "iso8859_2", "utf-8"), ("el", "cp1252", "utf-8"), ("el", "cp1253", "utf-8"), ("el", "iso8859_7", "utf-8"), ("ja", "cp1252", "utf-8"), ("ja", "mac_roman", "utf-8"),
+    ("tr", "cp1254", "utf-8"), ("tr", "cp1252", "utf-8"), ("el", "cp1252", "cp1253"), ("ja", "cp1252", "euc_jp"),
+])
+def test_damage_of_other_languages(spark, corpus, lang, wrong, true):
+    rng = random.Random(11)
+    words = OTHERS[lang].split() if lang != "ja" else [OTHERS[lang][i : i + 6] for i in range(0, 36, 6)]
+    rows = [" ".join(rng.choice(words) for _ in range(10)) for _ in range(600)]
+    scores = M.train(spark.createDataFrame([(t,) for t in [*corpus, *rows]], "text string"))
+    bad = [garble(t, wrong, true) for t in rows[:60]]
+    found = [M.repair(t, scores) for t in bad]
+    assert sum(d for d, _, _ in found) >= 59 and sum(o == t for (_, _, o), t in zip(found, rows, strict=False)) >= 50
+    assert not any(M.repair(t, scores)[0] for t in rows)
+
+
+def test_every_damage_stands_in_a_segment(scores):
+    for text in ("�", "a �", "un mot\u0081", "Le r�sum� est l�", garble("Le résumé a été préparé", "cp1252")):
+        assert M._suspects(text, scores) and M.repair(text, scores)[0]
+    assert M.shrunk(3.0, 0, 10) == M.LOWEST and M.shrunk(3.0, 10, 10) == 3.0 and M.LOWEST < M.shrunk(3.0, 5, 10) < 3.0
+
+
+def test_look_alike_letters_are_no_damage(scores):
+    assert not M.repair("THЕЅE books are old", scores)[0] and M.repair("The cup (ВЈ1284) is old", scores)[2] == "The cup (£1284) is old"
