@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.llm import bpe, lookalike, mojibake, multiset, overlap, packing, reading, termfreq
 from lexiflow.llm.common import records, table
+from lexiflow.llm.oracle import oracle_sql
 
 
 def _lattice(spark: SparkSession, sf_dir: str, also: DataFrame | None = None) -> lookalike.Lattice:
@@ -135,27 +136,3 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_restored, p3_found, p3_collapsed, p4_found, p4_terms, p4_token_ids, p5_found, p5_classes, p5_normalized, p6_ids, p7_packed, p7_summary, p8_found, p8_levels)}
-
-
-_MARK = """
-    CASE WHEN occurrences < 5 OR records < 3 THEN 'rare'
-         WHEN records > 0.1 * (SELECT count(DISTINCT td_id) FROM seen) THEN 'common' END AS mark
-"""
-_TERMS = """
-WITH seen AS (SELECT td_id, token_position, max(text) AS token FROM tokens
-              WHERE td_id IS NOT NULL AND token_position IS NOT NULL GROUP BY td_id, token_position),
-     freq AS (SELECT token, count(*) AS occurrences, count(DISTINCT td_id) AS records FROM seen WHERE token IS NOT NULL GROUP BY token)
-"""
-_IDS = """
-WITH seen AS (SELECT td_id, pos, max(token_id) AS token_id FROM token_stream
-              WHERE td_id IS NOT NULL AND pos IS NOT NULL GROUP BY td_id, pos),
-     freq AS (SELECT token_id, count(*) AS occurrences, count(DISTINCT td_id) AS records FROM seen WHERE token_id IS NOT NULL GROUP BY token_id)
-"""
-
-
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p4_found": f"{_TERMS}, m AS (SELECT token, {_MARK} FROM freq) SELECT token, mark FROM m WHERE mark IS NOT NULL",
-        "p4_terms": f"{_TERMS} SELECT token, occurrences, records, {_MARK} FROM freq",
-        "p4_token_ids": f"{_IDS} SELECT token_id, occurrences, records, {_MARK} FROM freq",
-    }
