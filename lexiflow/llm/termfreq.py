@@ -6,8 +6,10 @@ occurrences. Tasks build containers of the rows they have, equal (term, block) p
 number of records of a term is the sum of its containers' cardinalities. Merging by block spreads a term that stands in
 every record over all tasks. A container of the term null holds all records, so their number comes from the same pass.
 
-A (record, position) that came twice counts once. Rows are brought together by record and block of positions, so even a
-record that has a third of all rows is spread. Should two deliveries differ in the term, the larger term counts. Rows with a
+A (record, position) that came twice counts once. For that the rows of a record are brought together, as whole pieces: rows
+that follow each other in the input and have one record and block of positions travel as one row of packed positions,
+lengths and characters, a few bytes a token. A record goes by blocks of positions, so even one that has a third of all rows
+is spread. Should two deliveries differ in the term, the larger term counts. Rows with a
 null record or position are left out; rows with a null term count for the number of records only.
 """
 
@@ -71,17 +73,71 @@ def union_sizes(group: np.ndarray, groups: int, places: list[bytes]) -> np.ndarr
     return sizes
 
 
+PIECES = "record long, block long, places binary, sizes binary, text binary"
+
+
+def _slices(data: np.ndarray | pa.Buffer, ends: np.ndarray) -> pa.Array:
+    """A buffer cut at ``ends`` into binary values, without a copy."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), data if isinstance(data, pa.Buffer) else pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (record, position, term) rows to pieces: a null term has the size -1."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        record, position, term = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).cast(pa.large_string())
+        block = position >> 16
+        first = np.flatnonzero(np.concatenate([[True], (record[1:] != record[:-1]) | (block[1:] != block[:-1])]))
+        ends = np.append(first, len(record))
+        sizes = pc.fill_null(pc.binary_length(term), -1).to_numpy(zero_copy_only=False).astype("<i4")
+        stops = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0), dtype=np.int64)])
+        text = pc.fill_null(term, "")
+        data = text.buffers()[2]
+        shift = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(record[first]), pa.array(block[first]), _slices((position & 0xFFFF).astype("<u2"), 2 * ends), _slices(sizes, 4 * ends), _slices(data if data is not None else pa.py_buffer(b""), shift + stops[ends]),
+        ], ["record", "block", "places", "sizes", "text"])
+
+
+def _unpacked(held: list[pa.RecordBatch]) -> tuple[np.ndarray, pa.Array]:
+    """(record, term) of the different (record, position) of some pieces; of several terms the largest counts, null the least."""
+    part = pa.Table.from_batches(held).combine_chunks()
+    joined = lambda name: b"".join(part.column(name).to_pylist())
+    place, size = np.frombuffer(joined("places"), dtype="<u2").astype(np.int64), np.frombuffer(joined("sizes"), dtype="<i4").astype(np.int64)
+    record, block = part.column("record").to_numpy(), part.column("block").to_numpy()
+    count = pc.binary_length(part.column("places")).to_numpy() // 2
+    ends = np.concatenate([[0], np.cumsum(np.maximum(size, 0))])
+    term = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(joined("text"))])
+    if (size < 0).any():
+        term = pc.if_else(pa.array(size >= 0), term, pa.scalar(None, pa.large_string()))
+    group = np.cumsum(np.concatenate([[True], (record[1:] != record[:-1]) | (block[1:] != block[:-1])])) - 1
+    key = np.repeat(group, count) << 16 | place
+    record = np.repeat(record, count)
+    if not (key[1:] > key[:-1]).all():
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        if not new.all():
+            first = np.flatnonzero(new)
+            several = first[np.diff(np.append(first, len(key))) > 1]
+            stop = np.append(first[1:], len(key))[np.searchsorted(first, several)]
+            for a, b in zip(several.tolist(), stop.tolist(), strict=True):
+                own = [(x is not None, x or "", i) for i, x in zip(order[a:b].tolist(), term.take(pa.array(order[a:b])).to_pylist(), strict=True)]
+                order[a] = max(own)[2]
+            order = order[first]
+        record, term = record[order], term.take(pa.array(order))
+    return record, term
+
+
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (record, position, term) rows sorted by record and position to containers."""
-    held, rows, before = [], 0, None
-
-    def flush() -> pa.RecordBatch:
-        part = pa.Table.from_batches(held).combine_chunks()
-        record = part.column("record").to_numpy()
-        coded = part.column("term").combine_chunks().dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        code = pc.fill_null(coded.indices, -1).to_numpy().astype(np.int64)
+    """From pieces sorted by record and block to containers."""
+    held, tokens = [], 0
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        record, term = _unpacked(held)
+        coded = term.dictionary_encode()
+        code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
         words = len(coded.dictionary)
         some = code >= 0
         t, b, p = containers(np.concatenate([code[some], np.full(len(record), words)]), np.concatenate([record[some], record]))
@@ -93,50 +149,57 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        record, position = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        same = np.concatenate([[before == (record[0], position[0])], (record[1:] == record[:-1]) & (position[1:] == position[:-1])])
-        before = (record[-1], position[-1])
-        if same.any():
-            batch = batch.filter(pa.array(~same))
         held.append(batch)
-        rows += batch.num_rows
-        if rows >= HELD:
-            yield flush()
-            held, rows = [], 0
-    if rows:
-        yield flush()
+        tokens += pc.sum(pc.binary_length(batch.column("places"))).as_py() // 2
+        if tokens >= HELD:  # the last record and block may go on in the next batch
+            part = pa.Table.from_batches(held).combine_chunks()
+            record, block = part.column("record").to_numpy(), part.column("block").to_numpy()
+            last = len(record) - int(np.argmin(((record == record[-1]) & (block == block[-1]))[::-1])) if not ((record == record[0]) & (block == block[0])).all() else 0
+            if last:
+                yield flush(part.slice(0, last).to_batches())
+                held = part.slice(last).to_batches()
+                tokens = sum(pc.sum(pc.binary_length(x.column("places"))).as_py() // 2 for x in held)
+    if held:
+        yield flush(held)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From containers sorted by term and block to (term, records, n) for each term and block."""
-    rest: list[tuple] = []
-
-    def merged(rows: list[tuple]) -> pa.RecordBatch:
-        new = [True, *(a[0] != b[0] or a[1] != b[1] for a, b in zip(rows[1:], rows, strict=False))]
-        group = np.cumsum(new) - 1
-        groups = int(group[-1]) + 1
-        sizes = union_sizes(group, groups, [r[2] for r in rows])
-        n = np.bincount(group, weights=np.array([r[3] for r in rows], dtype=float), minlength=groups).astype(np.int64)
-        names = [r[0] for r, is_new in zip(rows, new, strict=True) if is_new]
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes), pa.array(n)], ["term", "records", "n"])
+    rest: pa.Table | None = None
+
+    def borders(part: pa.Table) -> np.ndarray:
+        code = part.column("term").combine_chunks().dictionary_encode(null_encoding="encode")
+        code = (code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy()
+        block = part.column("block").to_numpy()
+        return np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])]))
+
+    def merged(part: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        group = np.zeros(part.num_rows, dtype=np.int64)
+        group[first[1:]] = 1
+        group = np.cumsum(group)
+        sizes = union_sizes(group, len(first), part.column("places").to_pylist())
+        n = np.add.reduceat(part.column("n").to_numpy(), first)
+        names = part.column("term").take(pa.array(first)).combine_chunks()
+        return pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(sizes), pa.array(n)], ["term", "records", "n"])
 
     for batch in batches:
-        rows = rest + list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        last = len(rows)
-        while last and rows[last - 1][:2] == rows[-1][:2]:
-            last -= 1
-        if last:
-            yield merged(rows[:last])
-        rest = rows[last:]
-    if rest:
-        yield merged(rest)
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        part = (part if rest is None else pa.concat_tables([rest, part])).combine_chunks()
+        first = borders(part)
+        if len(first) > 1:
+            yield merged(part.slice(0, first[-1]), first[:-1])
+        rest = part.slice(first[-1])
+    if rest is not None:
+        yield merged(rest.combine_chunks(), np.zeros(1, dtype=np.int64))
 
 
 def term_frequencies(df: DataFrame, record: str, position: str, term: str) -> DataFrame:
     """(term, occurrences, records) of every distinct term; the row of the null term has the number of all records."""
     src = df.select(F.col(record).cast("long").alias("record"), F.col(position).cast("long").alias("position"), F.col(term).cast("string").alias("term"))
-    src = src.where("record is not null and position is not null").repartition(F.col("record"), F.shiftright("position", 16))
-    built = src.sortWithinPartitions("record", "position", F.col("term").desc_nulls_last()).mapInArrow(_build, CONTAINERS)
+    pieces = src.where("record is not null and position is not null").mapInArrow(_pack, PIECES).repartition("record", "block")
+    built = pieces.sortWithinPartitions("record", "block").mapInArrow(_build, CONTAINERS)
     merged = built.repartition("term", "block").sortWithinPartitions("term", "block").mapInArrow(_merge, "term string, records long, n long")
     return merged.groupBy("term").agg(F.sum("n").alias("occurrences"), F.sum("records").alias("records"))
 
