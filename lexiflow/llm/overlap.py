@@ -10,9 +10,9 @@
    all the evaluation side's runs of words that have the size of such a segment. That loses no pair, nothing is capped, and
    the number of keys is linear in the number of words, whatever the length.
 4. A segment that more than ``HOT`` training classes share (boilerplate) would pair all of them with all evaluation classes
-   that hold it. Such keys are refined: if only hot segments are unchanged, the other segments share at most k edits, so one
-   of their halves is unchanged. Hot keys are therefore joined together with the hash of a half of another segment, against
-   the same key together with each run of a half's size. Again no pair is lost.
+   that hold it. Such keys are refined: if only hot segments are unchanged, the others share at most k edits, so of k + 1
+   pieces of them one is unchanged. Hot keys are therefore joined together with the hash of a piece, against the same key
+   together with each run of a piece's size. Again no pair is lost.
 5. Candidates are verified exactly by a banded edit distance, which takes two words and their joint spelling for the same,
    then expanded to the members of both classes.
 """
@@ -25,11 +25,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.llm.common import MIN_RUNS, cut, cut_table
 from lexiflow.llm.forms import Folded, digest
+from lexiflow.plans.skew import lookup
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -154,23 +155,37 @@ def may_be_near(a: Column, b: Column, one_in: int) -> Column:
     return (n(a) == FAR) | (n(b) == FAR) | ((before + behind) * one_in < F.greatest(n(a), n(b)))
 
 
-def refined_keys(words: list[str], hot: np.ndarray, probe: bool, one_in: int) -> np.ndarray:
-    """Hot keys of a text, each together with the hash of each half of another segment, or of each run of a half's size."""
-    hashes, hot = Hashes(words), hot.view(np.uint64)
+def refined_keys(words: list[str], hot: np.ndarray, probe: bool, one_in: int) -> tuple[np.ndarray, int]:
+    """Hot keys of a text (a row each), together with the hash of each piece of its other segments, or of each run of a
+    piece's size; and how many pieces of each hot key are needed.
+
+    Pieces are parts of the segments that aren't hot. One more than there can be edits are needed, so that a pair that has
+    none of those segments in common still has a piece; any of them will do. Where the words outside of hot segments are too few for that, all of them may be
+    edited, and the hot key stands alone (all such texts are near then, but for a few words).
+    """
+    hashes, hot = Hashes(words), np.unique(hot.view(np.uint64))
+    alone = np.array([0x2545F4914F6CDD1D], dtype=np.uint64)
     if probe:
-        sizes = sorted({h for s in probe_sizes(len(words), one_in) for h in (s // 2, s - s // 2) if h})
-        at = np.concatenate([np.arange(len(words) - h + 1) for h in sizes])
-        half = hashes.of(at, np.concatenate([np.full(len(words) - h + 1, h) for h in sizes]))
-        pairs = [(k, half) for k in hot]
+        most = max((-(s // -2) for s in probe_sizes(len(words), one_in)), default=0)
+        sizes = range(1, min(most, len(words)) + 1)
+        at = [np.arange(len(words) - s + 1) for s in sizes]
+        piece = np.concatenate([hashes.of(a, np.full(len(a), s)) for a, s in zip(at, sizes, strict=True)] + [alone])
+        with np.errstate(over="ignore"):
+            return _mix(hot[:, None] * np.uint64(3) + piece[None, :]).view(np.int64), len(piece)
+    start, size = segments(len(words), one_in)
+    key = hashes.of(start, size)
+    mine, cold = np.unique(key[np.isin(key, hot)]), ~np.isin(key, hot)
+    edits, parts, needed = len(key) - 1, 2, len(key)
+    if size[cold].sum() <= edits:
+        piece, needed = alone, 1
     else:
-        start, size = segments(len(words), one_in)
-        key, low = hashes.of(start, size), size // 2
-        halves = hashes.of(start, low), hashes.of(start + low, size - low)
-        others = np.arange(len(key))
-        pairs = [(k, np.concatenate([h[(others != i) & (low > 0)] for h in halves])) for i, k in enumerate(key) if k in hot]
+        while np.minimum(size[cold], parts).sum() <= edits:
+            parts += 1
+        borders = [(a, a + s * np.arange(min(parts, s) + 1) // min(parts, s)) for a, s in zip(start[cold].tolist(), size[cold].tolist(), strict=True)]
+        first, last = np.concatenate([x[:-1] for _, x in borders]), np.concatenate([x[1:] for _, x in borders])
+        piece = hashes.of(first, last - first)
     with np.errstate(over="ignore"):
-        out = [_mix(h * np.uint64(3) + k) for k, h in pairs]
-    return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
+        return _mix(mine[:, None] * np.uint64(3) + piece[None, :]).view(np.int64), needed
 
 
 def joined(a: list[str], b: list[str]) -> int:
@@ -276,17 +291,32 @@ def _emitted(classes: DataFrame, probe: bool, one_in: int) -> DataFrame:
 
 
 def _refined(classes: DataFrame, keys: DataFrame, hot: DataFrame, probe: bool, one_in: int) -> DataFrame:
-    """(key, c, place) of the refined keys of the classes that have hot ones; a class has fewer hot keys than words."""
+    """(key, c, place) of the refined keys of the classes that have hot ones; a class has fewer hot keys than words.
+
+    Of the pieces of a training class those that fewest classes have with the same hot key are taken, as many as are needed;
+    so what boilerplate reaches into other segments doesn't count either.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [refined_keys(w.split(" "), np.array(h, dtype=np.int64), probe, one_in) for w, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            if made:
-                text = np.repeat(np.arange(len(made)), [len(k) for k in made])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), batch.column(0).take(pa.array(text)), pa.array(np.full(len(text), FAR))], ["key", "c", "place"])
+            key, c, row, needed = [], [], [], []
+            for own, w, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                made, need = refined_keys(w.split(" "), np.array(h, dtype=np.int64), probe, one_in)
+                key.append(made.ravel())
+                c.append(np.full(made.size, own))
+                row.append(np.repeat(np.arange(len(made)), made.shape[1]))
+                needed.append(np.full(made.size, need))
+            if key:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (key, c, row, needed)], ["key", "c", "base", "needed"])
 
     own = keys.join(hot, "key", "left_semi").groupBy("c").agg(F.collect_set("key").alias("hot"))
-    return classes.select("c", "words").join(own, "c").select("c", "words", "hot").mapInArrow(emit, "key long, c long, place long")
+    made = classes.select("c", "words").join(own, "c").select("c", "words", "hot").mapInArrow(emit, "key long, c long, base long, needed long")
+    if not probe:
+        made = cut_table(made)
+        counts = made.groupBy("key").agg(F.count("*").alias("n"))
+        place = F.row_number().over(Window.partitionBy("c", "base").orderBy("n", "key"))
+        made = lookup(made, counts, ["key"], "n").withColumn("place", place).where("place <= needed")
+    return made.select("key", "c").distinct().withColumn("place", F.lit(FAR).cast("long"))
 
 
 def near_classes(classes: DataFrame, one_in: int = 8, most: int = HOT) -> DataFrame:
