@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import cut
+from lexiflow.llm.common import cut_table
 
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 SENTENCE_END = re.compile(r"[.!?…]+\s")
@@ -271,5 +271,5 @@ def reading_levels(df: DataFrame, key: str, text: str, lang: str, passages: Data
     graded = passages.where(F.col(passage_text).isNotNull() & F.col(grade).isNotNull()).select(passage_text, grade)
     graded = graded.orderBy(F.xxhash64(passage_text), passage_text, grade).limit(PASSAGES).collect()
     model = Model([(r[0], r[1]) for r in graded])
-    documents = cut(vectors(df, key, text, lang, model.bank))
+    documents = cut_table(vectors(df, key, text, lang, model.bank))
     return levels(documents, fit(documents, model), key)
