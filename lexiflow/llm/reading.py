@@ -13,8 +13,8 @@ The first item step uses the graded passages alone, which anchors the scale; the
 passages' levels move by less than ``TOLERANCE`` grades (root mean square) in a round.
 
 The driver holds ``PASSAGES`` graded passages at most, in the order of a hash of their text if there are more, and their
-counts as lists of what is there. They fix the item bank: words found in ``LEAST`` of them or more, and shapes (word lengths
-and sentence lengths), which any language has. Levels are brought to the passages' grades by the median
+counts as lists of what is there. They fix the item bank: all their words, and shapes (word lengths and sentence lengths),
+which any language has. Levels are brought to the passages' grades by the median
 latent level of each grade, which errors of single raters don't move; between the medians the scale is linear.
 
 Results: ``basis`` is 'words' for English texts, and for texts without a known language of which three words in ten or
@@ -36,7 +36,7 @@ from lexiflow.llm.common import cut_table
 
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 SENTENCE_END = re.compile(r"[.!?…]+\s")
-LEAST, PRIOR, RIDGE, PASSAGES = 3, 0.2, 1.0, 20_000
+PRIOR, RIDGE, PASSAGES = 0.2, 1.0, 20_000
 TOLERANCE, ROUNDS = 0.02, 30
 GRID = np.linspace(-6.0, 6.0, 2401)
 LONGEST_WORD, LONGEST_SENTENCE, SENTENCE_STEP = 16, 60, 4
@@ -119,8 +119,7 @@ class Model:
     def __init__(self, passages: list[tuple[str, float]]):
         passages = [(t, float(g)) for t, g in passages if t and g is not None]
         cut_up = [WORDS.findall(t.lower()) for t, _ in passages]
-        found = Counter(w for ws in cut_up for w in set(ws))
-        self.bank = {w: i for i, w in enumerate(sorted(w for w, n in found.items() if n >= LEAST))}
+        self.bank = {w: i for i, w in enumerate(sorted({w for ws in cut_up for w in ws}))}
         self.grade = np.array([g for _, g in passages])
         self.start = (self.grade - self.grade.mean()) / (self.grade.std() or 1.0) if len(passages) else self.grade
         self.words, self.shapes = Family(len(self.bank)), Family(len(SHAPES))
