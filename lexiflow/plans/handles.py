@@ -22,9 +22,12 @@ class Handle:
         """The result of a function on the data, still lazy."""
         return function(self.data)
 
-    def get(self, limit: int | None = None) -> list:
-        """The rows themselves; ``limit`` is for looking at a few."""
-        return (self.data if limit is None else self.data.limit(limit)).collect()
+    def get(self, limit: int = 10_000) -> list:
+        """The rows themselves, if there are no more than ``limit``; more raise an error, and none are left out silently."""
+        rows = self.data.limit(limit + 1).collect()
+        if len(rows) > limit:
+            raise ValueError(f"{self.name} has more than {limit} rows; work on them with apply, or write them to a table")
+        return rows
 
 
 class Store:

@@ -64,5 +64,7 @@ def test_handles(spark):
     handle = store.publish("poem", spark.createDataFrame([(1, "a b")], "doc_id long, text string"), tags=["#poem", "#en"])
     assert store.find("#poem", "#en") == [handle] and store.find("#other") == [] and len(handle.get()) == 1
     assert handle.apply(lambda df: tokenize(df, "doc_id")).count() == 2 and spark.table("poem").count() == 1
+    with pytest.raises(ValueError, match="more than 0 rows"):
+        handle.get(limit=0)
     store.withdraw("poem")
     assert store.find("#poem") == []
