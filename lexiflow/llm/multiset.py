@@ -83,7 +83,10 @@ def multiset_hash(pairs: list[tuple[str, str]]) -> int:
 
 
 def fingerprints(df: DataFrame, key: str, column: str, min_runs: int = MIN_RUNS) -> DataFrame:
-    """(k, fp, p, form): the fingerprint of each row, a hash of all its letters in order, and its pairs as one string."""
+    """(k, fp, p, form): the fingerprint of each row, a hash of all its letters in order, and its pairs as one string.
+
+    The sum over the one pair of prose is just the hash of its letters.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,8 +98,8 @@ def fingerprints(df: DataFrame, key: str, column: str, min_runs: int = MIN_RUNS)
             for i in kept:
                 text = own.text(i)
                 pairs = canonical_pairs(text)
-                fps.append(multiset_hash(pairs).to_bytes(16, "little"))
                 ps.append(digest(raw[start[i] : end[i]]))
+                fps.append(ps[-1] if pairs[0][0] == "" and len(pairs) == 1 else multiset_hash(pairs).to_bytes(16, "little"))
                 forms.append(form_of(pairs))
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(kept, pa.int64())), pa.array(fps, pa.binary()), pa.array(ps, pa.binary()), pa.array(forms, pa.string())], ["k", "fp", "p", "form"])
 
