@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
-from lexiflow.functions.chars import SPACE, letter_classes
-from lexiflow.operators.rules import CURRENCY, DEFAULT, ELLIPSES, HYPHENS, PUNCTUATION, QUOTES, UNITS
+from lexiflow.functions.chars import SPACE
+from lexiflow.operators.rules import DEFAULT, UNITS
 
 #: Parts the pieces of a word; a private character that no text has.
 BORDER = "\uE000"
 
 
-def _re2(inside: str) -> str:
-    return re.sub(r"\\U0*([0-9A-F]+)", lambda m: rf"\x{{{m[1]}}}", inside)
+# The signs of the rules, written down again as classes; units and exceptions are the only tables shared with the rules.
+MARK, QUOTE = r"…,:;!?¿؟¡()\[\]{}<>_#*&。？！，、；：～·।،۔؛٪", r"'\"”“`‘´’‚,„»«「」『』（）〔〕【】《》〈〉"
+MONEY, DOTS, DASH = r"(?:US|C|A)?\$|[£€¥฿₽﷼₴]", r"\.\.+|…", r"-{1,3}|–|——?|~"
 
 
 def _literal(text: str) -> str:
@@ -21,20 +20,21 @@ def _literal(text: str) -> str:
 
 def token_ctes(segments: str, keep: bool = False) -> str:
     """Common tables up to ``tok`` (doc_id, position, text, space_after), after ``seg`` of ``segments``."""
-    letters = {k: _re2(v) for k, v in letter_classes().items()}
     # Symbols by their Unicode category, not by the table under test; the driver's tables have none that only one of them knows.
-    symbol, quotes, marks = r"\p{So}", "".join(QUOTES), "|".join(PUNCTUATION)
-    alpha, lower, upper = letters["alpha"], letters["lower"], letters["upper"]
-    prefix = "|".join(["§", "%", "=", "—", "–", *PUNCTUATION, *ELLIPSES, *QUOTES, *CURRENCY, symbol])
-    suffix = "|".join([*PUNCTUATION, *ELLIPSES, *QUOTES, symbol, "'s", "'S", "’s", "’S", "—", "–"])
+    symbol = r"\p{So}"
+    # Letters by their Unicode properties: small or capital ones, both with the scripts that have no case.
+    uncased = "".join(rf"\p{{{x}}}" for x in ("Bengali", "Hebrew", "Arabic", "Sinhala", "Devanagari", "Kannada", "Tamil", "Telugu", "Hangul", "Han"))
+    alpha, lower, upper = r"\p{L}" + uncased, r"\p{Ll}" + uncased, r"\p{Lu}" + uncased
+    prefix = f"{DOTS}|{MONEY}|[§%=—–{MARK}{QUOTE}]|{symbol}"
+    suffix = f"{DOTS}|['’][sS]|[—–{MARK}{QUOTE}]|{symbol}"
     after = [
-        r"[0-9](\+)$", r"°[FfCcKk](\.)$", f"[0-9]({'|'.join(CURRENCY)})$", f"[0-9]({'|'.join(UNITS)})$", rf"[0-9{lower}%²\-\+{marks}(?:{quotes})](\.)$", rf"[{upper}][{upper}](\.)$",
+        r"[0-9](\+)$", r"°[FfCcKk](\.)$", f"[0-9]({MONEY})$", f"[0-9]({'|'.join(UNITS)})$", rf"[0-9{lower}%²\-+|{MARK}{QUOTE}](\.)$", rf"[{upper}][{upper}](\.)$",
     ]
     longest = ", ".join([f"length(regexp_extract(rest, {_literal(f'(?:{suffix})$')}))", *(f"length(regexp_extract(rest, {_literal(p)}, 1))" for p in after)])
     inner = "rest"
     for pattern, times in (
-        (rf"()(\.\.+|…|{symbol})()", 1), (r"([0-9])([+\-*^])([0-9-])", 2), (rf"([{lower}{quotes}])(\.)([{upper}{quotes}])", 2), (f"([{alpha}])(,)([{alpha}])", 2),
-        (f"([{alpha}])({'|'.join(HYPHENS)})([{alpha}])", 2), (f"([{alpha}0-9])([:<>=/])([{alpha}])", 2),
+        (rf"()({DOTS}|{symbol})()", 1), (r"([0-9])([+\-*^])([0-9-])", 2), (rf"([{lower}{QUOTE}])(\.)([{upper}{QUOTE}])", 2), (f"([{alpha}])(,)([{alpha}])", 2),
+        (f"([{alpha}])({DASH})([{alpha}])", 2), (f"([{alpha}0-9])([:<>=/])([{alpha}])", 2),
     ):
         for _ in range(times):
             inner = f"regexp_replace({inner}, {_literal(pattern)}, {_literal(rf'\1{BORDER}\2{BORDER}\3')}, 'g')"
