@@ -34,7 +34,7 @@ SHORT = r"[^\W\d_][\w.'’-]*(?: +[\w.'’-]+){0,3}"
 WORD = r"[^\W\d_][\w.-]*"
 #: A field begins a record, or comes after a sign between fields (a line end, tab, bar, semicolon or comma), or, with a
 #: colon that its value touches, after a blank.
-BEGIN = r"(?:\A[\W_]*|[\n\r\t|;,][^\S\n\r\t]*(?:[^\w\s]+[^\S\n\r\t]*)?)"
+BEGIN = r"(?:\A[\W_]*|[\n\r\t|;,][^\S\n\r\t]*(?:[^\w\s]{1,3}[^\S\n\r\t]*)?)"
 #: How a name is told from its value: a tag, or a name, maybe in quotes, with a colon, an equals sign or a spaced dash.
 TAG = re.compile(rf"<({NAME})>")
 SIGNED = tuple(re.compile(rf"{BEGIN}({name})[\"'”]?[^\S\n\r\t]*{sign}") for name, sign in ((NAME, ":(?!//)"), (NAME, "="), (SHORT, r"(?<=\s)[-–—](?=\s)")))
