@@ -14,7 +14,7 @@ def lattice(spark):
 CASES = {
     "Dоеs": "Does", "ＦＵＬＬ ｗidth，": "FULL width,", "reconﬁguration": "reconfiguration", "a­b​c⁠﻿": "abc", "éë": "éë",
     "a b c d": "a b c d", "новaя книгa": "новая книга", "\U0001f469‍\U0001f4bb x‍y": "\U0001f469‍\U0001f4bb xy", "Еще ещё": "Еще ещё",
-    "𝐡𝐞𝐥𝐥𝐨": "hello", "a\ufe0fb\U000e0061": "ab", "❤\ufe0f": "❤\ufe0f", "ՏոսքL": "ՏոսքL", "ᎢᎬᎢ": "ᎢᎬᎢ", "m² ½ ① ™": "m² ½ ① ™",
+    "𝐡𝐞𝐥𝐥𝐨": "hello", "a\ufe0fb\U000e0061": "ab", "❤\ufe0f": "❤\ufe0f", "ՏոսքL": "ՏոսքԼ", "ᎢᎬᎢ": "TET", "ᏣᎳᎩ": "ᏣᎳᎩ", "m² ½ ① ™": "m² ½ ① ™",
     "Βοοk": "Book", "plain “text” … – №5": "plain “text” … – №5", "": "", "​": "",
 }
 
