@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.llm.common import cut
-from lexiflow.llm.lookalike import COMPAT, PROTOTYPE
+from lexiflow.llm.lookalike import COMPAT, PROTOTYPE, script_of
 
 #: Share of the records that a pair must stand in for its score to count in full, and the least number of them.
 SUPPORT, LEAST = 0.001, 3
@@ -437,8 +437,8 @@ def _spelt(before: str, now: str, out: str, after: str, scores: Scores) -> bool:
     """Whether all pairs of ``out`` have support, and a single character is more frequent between these letters than now.
 
     A letter beside another isn't taken for a sign, nor a sign for a letter but between two letters, and a look-alike letter
-    isn't put in. Most pairs of a longer
-    run must lack support now, as those of a rare word don't.
+    isn't put in. A capital or a Greek letter between two small Latin letters needs no such count. Most pairs of a longer run
+    must lack support now, as those of a rare word don't.
     """
     if lowest(before + out + after, scores) <= WEAK:
         return False
@@ -451,6 +451,8 @@ def _spelt(before: str, now: str, out: str, after: str, scores: Scores) -> bool:
         return False
     if now.isalpha() and not out.isalpha() and (before.isalpha() or after.isalpha()):
         return False
+    if before.islower() and after.islower() and out.islower() and (now.isupper() or script_of(now) == 2):
+        return True  # no word has a capital or a Greek letter between two small Latin ones
     old, new = (sum(scores.letters.get(k, 0) for k in triple_keys(code_points((before or " ") + c + (after or " ")), IN_REPERTOIRE).tolist()) for c in (now, out))
     return new > old and (not old or out.isalpha() or not now.isalpha())
 

@@ -147,3 +147,10 @@ def test_every_damage_stands_in_a_segment(scores):
 
 def test_look_alike_letters_are_no_damage(scores):
     assert not M.repair("THЕЅE books are old", scores)[0] and M.repair("The cup (ВЈ1284) is old", scores)[2] == "The cup (£1284) is old"
+
+
+@pytest.mark.parametrize(("text", "want"), [("the word PuÍvon is old", "the word Puêvon is old"), ("the word LewÄavo is old", "the word Lewéavo is old"), ("the word Kixbregrτu is old", "the word Kixbregrçu is old")])
+def test_a_letter_that_no_word_has_at_its_place(spark, corpus, text, want):
+    more = ["plusieurs êtres étranges", "le garçon reçu ici", "même la tête en rêve"] * 40
+    scores = M.train(spark.createDataFrame([(t,) for t in [*corpus, *more]], "text string"))
+    assert M.repair(text, scores) == (True, True, want) and not M.repair(want, scores)[0]
