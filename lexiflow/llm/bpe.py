@@ -1,8 +1,8 @@
 """Encoding with a public byte-level BPE tokenizer in batched numpy.
 
 A batch of texts is one flat array of code points. Classes of characters (letter, number, white space, other) are looked
-up in a table, the borders of the pre-tokens follow from a few vector operations, and each pre-token gets a 64-bit
-polynomial hash of its characters. Distinct pre-tokens that this worker hasn't met are encoded together: the symbols of
+up in a table, the borders of the pre-tokens follow from a few vector operations, and each pre-token gets two 64-bit
+polynomial hashes of its characters; they are known by the first, and told apart by the second where the first is the same. Distinct pre-tokens that this worker hasn't met are encoded together: the symbols of
 all of them lie in one flat array; a round looks up every adjacent pair by binary search over the sorted pair keys,
 finds each word's lowest rank and merges it wherever it occurs, until no pair of any word has a rank. The ids of all
 pre-tokens are then gathered from the store of known ones. No Python loop runs over characters or tokens.
@@ -49,10 +49,11 @@ def character_classes() -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
-def _mixed() -> np.ndarray:
+@lru_cache(maxsize=2)
+def _mixed(which: int) -> np.ndarray:
+    """Two different numbers for each code point."""
     with np.errstate(over="ignore"):
-        x = (np.arange(0x110000, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (np.arange(0x110000, dtype=np.uint64) + np.uint64(1 + which * 0x51ED270B)) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ x >> np.uint64(30)) * np.uint64(0x94D049BB133111EB)
         return x ^ x >> np.uint64(27)
 
@@ -109,7 +110,7 @@ class Encoder:
         order = np.argsort(keys)
         self.keys, self.ranks, self.merged = keys[order], order.astype(np.int64), np.array([vocab[a + b] for a, b in split] + [0], dtype=np.int64)
         self.known: dict[int, int] = {}
-        self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.at, self.size, self.ids, self.second = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after the other, and how many each has; no word may be empty."""
@@ -145,9 +146,10 @@ class Encoder:
         order = np.argsort(owner, kind="stable")
         return sym[order].astype(np.int32), np.bincount(owner, minlength=len(words))
 
-    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+    def _learn(self, hashes: list[int], second: np.ndarray, words: list[bytes]) -> None:
         ids, sizes = self.words(words)
         base = len(self.at)
+        self.second = np.concatenate([self.second, second])
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
         self.ids = np.concatenate([self.ids, ids])
@@ -171,18 +173,30 @@ class Encoder:
         start, end = start[inside], end[inside]
         with np.errstate(over="ignore"):
             power, back = powers(len(cp))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed()[raw] * power[:-1], dtype=np.uint64)])
-            h = (sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        codes, distinct = pd.factorize(h)
-        if len(self.known) + len(distinct) > KNOWN:
-            self.known, self.at, self.size, self.ids = {}, self.at[:0], self.size[:0], self.ids[:0]
-        names = distinct.tolist()
-        new = [i for i, x in enumerate(names) if x not in self.known]
-        if new:
-            first = np.empty(len(names), dtype=np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            def hashes(which: int) -> np.ndarray:
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(which)[raw] * power[:-1], dtype=np.uint64)])
+                return (sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+            h, other = hashes(0), hashes(1)
+            while True:
+                codes, distinct = pd.factorize(h)
+                if len(self.known) + len(distinct) > KNOWN:
+                    self.known, self.at, self.size, self.ids, self.second = {}, self.at[:0], self.size[:0], self.ids[:0], self.second[:0]
+                names = distinct.tolist()
+                first = np.empty(len(names), dtype=np.int64)
+                first[codes[::-1]] = np.arange(len(codes))[::-1]
+                found = np.fromiter((self.known.get(x, -1) for x in names), np.int64, len(names))
+                met = np.flatnonzero(found >= 0)
+                taken = np.zeros(len(names), dtype=bool)
+                taken[met] = self.second[found[met]] != other[first[met]]
+                clash = (other != other[first][codes]) | taken[codes]
+                if not clash.any():
+                    break
+                h = np.where(clash, h * BASE + other, h)  # the same first hash for different characters: another one
+        new = np.flatnonzero(found < 0)
+        if len(new):
             where = first[new]
-            self._learn([names[i] for i in new], [joined[s:e].encode("utf-8", "surrogatepass") for s, e in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            self._learn([names[i] for i in new.tolist()], other[where], [joined[s:e].encode("utf-8", "surrogatepass") for s, e in zip(start[where].tolist(), end[where].tolist(), strict=True)])
         index = np.array([self.known[x] for x in names], dtype=np.int64)[codes] if names else np.zeros(0, np.int64)
         return index, np.searchsorted(limits, start)
 

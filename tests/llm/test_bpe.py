@@ -2,8 +2,10 @@ import json
 import os
 import random
 
+import numpy as np
 import pytest
 
+from lexiflow.llm import bpe as B
 from lexiflow.llm.bpe import DEFAULT_FILE, Encoder, encode, token_counts
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -61,3 +63,15 @@ def test_the_file_is_a_parameter(tmp_path):
     data["model"]["merges"] = []
     (tmp_path / "bytes.json").write_text(json.dumps(data), encoding="utf-8")
     assert Encoder(str(tmp_path / "bytes.json")).batch(["abc é"])[1].tolist() == [6]
+
+
+def test_equal_hashes_of_different_characters(monkeypatch):
+    """With a first hash that tells nothing but the length apart, the second one does."""
+    texts = ["The old book held a note, and the new one didn't.", "cat act tca, god dog", "ab ba ab", "naïve café 1234 4321"]
+    want = [B.Encoder().batch([t])[0].tolist() for t in texts]
+    real = B._mixed
+    monkeypatch.setattr(B, "_mixed", lambda which: real(1) if which else np.zeros(0x110000, dtype=np.uint64))
+    own = B.Encoder()
+    for _ in range(2):
+        ids, counts = own.batch(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
