@@ -255,7 +255,7 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int:
 
 
 def canonical(df: DataFrame, key: str, column: str, side: str, min_runs: int = MIN_RUNS) -> DataFrame:
-    """(k, side, c, h, words): canonical words of each record, joined by one blank, the hash of its letters, and half of it."""
+    """(k, side, h, words): canonical words of each record, joined by one blank, and the hash of its letters."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,12 +263,11 @@ def canonical(df: DataFrame, key: str, column: str, side: str, min_runs: int = M
             raw, start, end = own.letters()
             words, kept = own.words(), np.flatnonzero(own.runs() >= max(1, min_runs))
             hs = [digest(raw[s:e]) for s, e in zip(start[kept].tolist(), end[kept].tolist(), strict=True)]
-            cs = np.frombuffer(b"".join(hs), dtype="<i8")[::2]
             rows = pa.array(own.row[kept])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(cs), pa.array(hs, pa.binary()), pa.array([words[i] for i in kept.tolist()], pa.string())], ["k", "side", "c", "h", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hs, pa.binary()), pa.array([words[i] for i in kept.tolist()], pa.string())], ["k", "side", "h", "words"])
 
     src = df.where(F.col(key).isNotNull() & F.col(column).isNotNull() & F.col(side).isNotNull())
-    return src.select(F.col(key).cast("long").alias("k"), F.col(side).alias("side"), F.col(column).cast("string").alias("t")).mapInArrow(work, "k long, side string, c long, h binary, words string")
+    return src.select(F.col(key).cast("long").alias("k"), F.col(side).alias("side"), F.col(column).cast("string").alias("t")).mapInArrow(work, "k long, side string, h binary, words string")
 
 
 def _emitted(classes: DataFrame, probe: bool, one_in: int) -> DataFrame:
@@ -322,8 +321,8 @@ def _refined(classes: DataFrame, keys: DataFrame, hot: DataFrame, probe: bool, o
 def near_classes(classes: DataFrame, one_in: int = 8, most: int = HOT) -> DataFrame:
     """(eval_h, train_h, edits): pairs of different classes, one of each side, that are near; ``classes`` is (side, c, h, words).
 
-    Keys go with half of a class's hash, which halves what is shuffled; classes that share it are told apart when their
-    words are joined.
+    ``c`` is a number that each row has for itself. Keys go with it, as numbers that follow each other take little room where
+    hashes don't.
     """
     train, other = classes.where("side = 'train'"), classes.where("side <> 'train'")
     index, probes = cut_table(_emitted(train, False, one_in)), _emitted(other, True, one_in)
@@ -369,7 +368,7 @@ def overlaps(df: DataFrame, key: str, column: str, side: str, one_in: int = 8, m
     """
     rows = cut_table(canonical(df, key, column, side, min_runs))
     classes = rows.withColumn("side", F.when(F.col("side") == "train", "train").otherwise("eval"))
-    classes = cut_table(classes.groupBy("side", "c", "h").agg(F.min("words").alias("words")))
+    classes = cut_table(classes.groupBy("side", "h").agg(F.min("words").alias("words")).withColumn("c", F.monotonically_increasing_id()))
     train, other = classes.where("side = 'train'").select("h"), classes.where("side <> 'train'").select("h")
     same = other.join(train, "h").select(F.col("h").alias("eval_h"), F.col("h").alias("train_h"), F.lit(0).alias("edits"))
     members = rows.groupBy("k", "side").agg(F.min("h").alias("h"))

@@ -122,7 +122,8 @@ def test_like_brute_force(spark):
     for k, n in per.items():
         assert n == sum(1 for p in want if k in p and ({*p} - {k}) & train)
     classes = df.where("split is not null and id is not null")
-    classes = O.canonical(classes, "id", "text", "split").selectExpr("if(side = 'train', 'train', 'eval') AS side", "c", "h", "words").distinct()
+    classes = O.canonical(classes, "id", "text", "split").selectExpr("if(side = 'train', 'train', 'eval') AS side", "h", "words").distinct()
+    classes = O.cut_table(classes.selectExpr("*", "monotonically_increasing_id() AS c"))
     near = {tuple(r) for r in O.near_classes(classes).collect()}
     assert near == {tuple(r) for r in O.near_classes(classes, most=1).collect()} and len(near) > 20
     empty = O.overlaps(df.limit(0), "id", "text", "split")
